@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from array import array
 from collections import Counter, deque
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 MODEL = "piece_bpe_32k.model"
-#: A worker's trie starts anew beyond this many nodes (about 50 MB).
-MAX_NODES = 300_000
+#: The word mark that the model's pieces use.
+MARK = "▁"
+#: A worker's trie starts anew beyond this many nodes (about 100 MB).
+MAX_NODES = 400_000
 #: Longer pre-tokens are scored without the trie, by the same rule, in constant memory.
 LONG = 4096
 #: Natural-log units by which a byte of an unknown character is less likely than the rarest piece.
@@ -39,6 +42,29 @@ def load_pieces(model_path: str) -> dict[str, float]:
     return {sp.id_to_piece(i): -math.log(r + 2) - norm for r, i in enumerate(ids)}
 
 
+class PieceEnds:
+    """Which pieces end where: states are the pieces' beginnings, found once for each (state, letter) that occurs.
+
+    A state is the longest end of the text so far that begins a piece.
+    """
+
+    def __init__(self, pieces: dict[str, float]):
+        self.pieces = pieces
+        self.begins = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.steps: dict[str, tuple[str, tuple[tuple[int, float], ...]]] = {}
+
+    def step(self, text: str) -> tuple[str, tuple[tuple[int, float], ...]]:
+        """The state after ``text`` (a state and a letter), and the (length, log probability) of the pieces that end there."""
+        found = self.steps.get(text)
+        if found is None:
+            state = next((text[i:] for i in range(len(text)) if text[i:] in self.begins), "")
+            ends = tuple((len(state) - i, self.pieces[state[i:]]) for i in range(len(state) - 1, -1, -1) if state[i:] in self.pieces)
+            if len(self.steps) >= MAX_NODES:
+                self.steps.clear()
+            found = self.steps[text] = (state, ends)
+        return found
+
+
 class PrefixTrie:
     """Best unigram segmentations of all prefixes of the pre-tokens inserted so far.
 
@@ -47,62 +73,69 @@ class PrefixTrie:
     its node is made; equal scores go to the fewer tokens, then to the longer last piece.
     """
 
-    def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES):
-        self.pieces = pieces
+    def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES, prefix: str = MARK):
+        self.ends = PieceEnds(pieces)
         self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=0.0) - BYTE_PENALTY
-        self.max_nodes = max_nodes
+        self.max_nodes, self.prefix = max_nodes, prefix
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.count = array("d", [0.0]), array("q", [0])
+        self.child: dict[int, int] = {}
+        self.score, self.count, self.state = array("d", [0.0]), array("q", [0]), [""]
         self.terminal: dict[str, tuple[int, float]] = {}
 
     def forward(self, word: str) -> tuple[int, float]:
         """The same without nodes: keeps only the last prefixes that a piece can reach."""
         last: deque[tuple[float, int]] = deque([(0.0, 0)], maxlen=self.longest)
-        for end, letter in enumerate(word, 1):
+        state = ""
+        for letter in itertools.chain(self.prefix, word):
             n = len(letter.encode("utf-8", "surrogatepass"))
             best, tokens = last[-1][0] + n * self.byte, last[-1][1] + n
-            for back in range(1, len(last) + 1):
-                p = self.pieces.get(word[end - back : end])
-                if p is not None:
-                    s, c = last[-back][0] + p, last[-back][1] + 1
-                    if s > best or (s == best and c <= tokens):
-                        best, tokens = s, c
+            state, ends = self.ends.step(state + letter)
+            for back, p in ends:
+                s, c = last[-back][0] + p, last[-back][1] + 1
+                if s > best or (s == best and c <= tokens):
+                    best, tokens = s, c
             last.append((best, tokens))
         return last[-1][1], last[-1][0]
 
-    def insert(self, word: str) -> tuple[int, float]:
-        """(tokens, score) of a pre-token; both are kept at its terminal."""
-        found = self.terminal.get(word)
+    def insert(self, bare: str) -> tuple[int, float]:
+        """(tokens, score) of a pre-token, given without its mark; both are kept at its terminal."""
+        found = self.terminal.get(bare)
         if found is not None:
             return found
-        if len(word) > LONG:
-            return self.forward(word)
+        if len(bare) > LONG:
+            return self.forward(bare)
+        word = self.prefix + bare
         if len(self.score) + len(word) > self.max_nodes:
             self.clear()
-        node, path, pieces, score, count = 0, [0], self.pieces, self.score, self.count
-        for end, letter in enumerate(word, 1):
-            key = (node, letter)
-            nxt = self.child.get(key)
+        child, score, count, states, step = self.child, self.score, self.count, self.state, self.ends.step
+        node, path = 0, [0]
+        for letter in word:
+            key = node << 21 | ord(letter)
+            nxt = child.get(key)
             if nxt is None:
-                n = len(letter.encode("utf-8", "surrogatepass"))
-                best, tokens = score[node] + n * self.byte, count[node] + n
-                for start in range(end - 1, max(0, end - self.longest) - 1, -1):
-                    p = pieces.get(word[start:end])
-                    if p is not None:
-                        before = path[start]
-                        s, c = score[before] + p, count[before] + 1
-                        if s > best or (s == best and c <= tokens):
+                state, ends = step(states[node] + letter)
+                if len(ends) == 0 or ends[0][0] > 1:  # the letter alone is no piece: its bytes are
+                    n = len(letter.encode("utf-8", "surrogatepass"))
+                    best, tokens = score[node] + n * self.byte, count[node] + n
+                else:
+                    best, tokens = -math.inf, 0
+                for back, p in ends:
+                    before = path[-back]
+                    s = score[before] + p
+                    if s >= best:
+                        c = count[before] + 1
+                        if s > best or c <= tokens:
                             best, tokens = s, c
-                nxt = self.child[key] = len(score)
+                nxt = child[key] = len(score)
                 score.append(best)
                 count.append(tokens)
+                states.append(state)
             node = nxt
             path.append(node)
-        found = self.terminal[word] = (count[node], score[node])
+        found = self.terminal[bare] = (count[node], score[node])
         return found
 
 
@@ -129,9 +162,9 @@ def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
                 tokens, score = 0, 0.0
                 known = trie.terminal
                 for word, times in words.items():
-                    found = known.get("▁" + word)
+                    found = known.get(word)
                     if found is None:
-                        found = trie.insert("▁" + word)
+                        found = trie.insert(word)
                         known = trie.terminal
                     tokens += found[0] * times
                     score += found[1] * times
