@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, sharding, token_counts, toxicity
-from .common import id_hash, table
+from . import langid, media, packing, sharding, token_counts, toxicity, warc
+from .common import id_hash, stored, table
 
 SHARDS = 24
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), k AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN k.keeper IS NULL OR d.page_id = k.keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k.keeper IS NULL OR d.page_id = k.keeper THEN NULL ELSE k.keeper END AS refers_to
+FROM d LEFT JOIN k USING (payload_digest)
+"""
+
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
@@ -21,6 +35,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    volumes = stored(warc.write_volumes(warc.revisits(table(spark, sf_dir, "pages"))), "warc", compression="none")
+    found = warc.read_volumes(volumes, with_payload=False)
+    return found.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langid.fit(docs.where(id_hash("doc_id") % 4 != 2))
@@ -44,8 +68,8 @@ def toxic_training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_token_counts, op5_langid, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_media, op2_token_counts, op3_packing, op4_warc, op5_langid, op9_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4_SQL}
