@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, sharding, token_counts, toxicity, warc
+from . import decontaminate, langid, media, neardup, packing, sharding, suffixdedup, token_counts, toxicity, warc
 from .common import id_hash, stored, table
 
 SHARDS = 24
@@ -52,6 +52,18 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", id_hash("doc_id") % 4 == 2)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -67,8 +79,22 @@ def toxic_training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return docs.select("doc_id", "text").join(labels, "doc_id")
 
 
+QUERIES = (
+    op1_media,
+    op2_token_counts,
+    op3_packing,
+    op4_warc,
+    op5_langid,
+    op6_minhash,
+    op7_suffix_dedup,
+    op8_decontamination,
+    op9_sharding,
+    op10_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_token_counts, op3_packing, op4_warc, op5_langid, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, small_batches, stored
 
 #: Bound of the training sample, in labelled documents.
 SAMPLE_DOCS = 8000
@@ -243,3 +244,14 @@ def predict(docs: DataFrame, model: Toxicity) -> DataFrame:
             )
 
     return map_batches(docs.select(docs["doc_id"].cast("long"), docs["text"]), run, "doc_id long, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Toxicity) -> DataFrame:
+    """The rows with a score below 0.5, with all their columns; rows are judged one by one, so repeated and null ids don't matter."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in texts], dtype="float64")
+
+    return docs.where(score(docs["text"]) < 0.5)
