@@ -193,16 +193,18 @@ def train_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def fit(labelled: DataFrame, max_docs: int = SAMPLE_DOCS) -> Toxicity:
-    """Train on at most ``max_docs`` rows of (doc_id, text, toxic), those first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS) -> Toxicity:
+    """Train on the documents of at most ``max_docs`` rows of labels (doc_id, toxic), those first by a hash of the id.
 
-    The ids are picked first, so only the picked texts are stored and read by the driver, one at a time. Rows without a
-    label don't count. Without any toxic row the base lexicons remain, with fixed coefficients.
+    The ids are picked from the labels alone and sent to the documents, so no text is shuffled for the choice; only the picked
+    texts are stored and read by the driver, one at a time. Rows without a label don't count; of an id's labels the
+    largest does. Without any toxic row the base lexicons remain, with fixed coefficients.
     """
-    labels = labelled.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic", "text")
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
-    picked = labels.select("doc_id", order.alias("_order")).orderBy("_order", "doc_id").limit(max_docs).select("doc_id").distinct()
-    sample = stored(labels.join(F.broadcast(picked), "doc_id").repartition(8, "doc_id").sortWithinPartitions("doc_id", "toxic", "text"), "toxicity-sample")
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = labels.orderBy(order, "doc_id").limit(max_docs)
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = stored(sample.repartition(8, "doc_id").sortWithinPartitions("doc_id", "toxic", "text"), "toxicity-sample")
     toxic, clean, totals = Counter(), Counter(), [0, 0]
     for row in sample.where("toxic > 0").toLocalIterator():
         toxic.update(terms_of(row["text"]))
