@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, neardup, packing, suffixdedup, toxicity
 from ledgerloom.llm.common import stored, table
-from ledgerloom.llm.queries import toxic_training_rows
+from ledgerloom.llm.queries import training_labels
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, trained on the labelled ones among them, does not reject."""
-    return toxicity.keep_clean(docs, toxicity.fit(toxic_training_rows(spark, docs, sf_dir)))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, training_labels(spark, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
