@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_ledger, q_text, q_usage  # noqa: F401  they register themselves
+from . import q_ledger, q_pipeline, q_text, q_usage  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 
