@@ -238,12 +238,16 @@ def _first_contexts(rows: DataFrame) -> DataFrame:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in order of their first ``depth`` symbols at least, by prefix doubling from four symbols on."""
-    n, base = len(text), int(text.max()) + 2
-    key, k = text.astype(np.int64) + 1, 1
-    if base**4 < 1 << 62:
-        padded, k = np.append(key, np.zeros(3, np.int64)), 4
-        key = ((padded[:n] * base + padded[1 : n + 1]) * base + padded[2 : n + 2]) * base + padded[3:]
+    """Starts of the suffixes in order of their first ``depth`` symbols at least, by prefix doubling.
+
+    It begins with as many symbols as a 62-bit number holds. Beyond the end are zeros.
+    """
+    n, bits = len(text), max(1, int(text.max()).bit_length())
+    k = max(1, 62 // bits)
+    padded = np.append(text.astype(np.int64), np.zeros(k, np.int64))
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key = key << bits | padded[j : j + n]
     while True:
         order = np.argsort(key)
         in_order = key[order]
@@ -263,38 +267,38 @@ def equal_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     that precedes them, are those of k + 1 symbols. Breadth first, so a boundary appears at its common prefix's length;
     places without a boundary yet are all that is looked at, and extension stops at ``length``.
     """
-    n = len(order)
     bwt = text[order - 1]  # the first suffix is preceded by the last symbol, as in a circle
-    narrow = bwt.astype(np.uint16) if bwt.max() < 1 << 16 else bwt  # sorted by digits
-    source = np.argsort(narrow, kind="stable")  # the place whose backward extension each place is
+    source = np.argsort(bwt, kind="stable").astype(np.int32)  # the place whose backward extension each place is
     first = text[order]
     boundary = np.append(True, first[1:] != first[:-1])
+    open_ = np.flatnonzero(~boundary)
+    left, right = source[open_ - 1], source[open_]
     for _ in range(1, length):
-        interval = np.cumsum(boundary)
-        open_ = np.flatnonzero(~boundary)
         if not len(open_):
             break
-        split = interval[source[open_]] != interval[source[open_ - 1]]
-        if not split.any():
-            # nothing splits at this length; longer common prefixes can still end, so go on
-            continue
-        boundary[open_[split]] = True
+        interval = np.cumsum(boundary, dtype=np.int32)
+        split = interval[left] != interval[right]
+        if split.any():
+            boundary[open_[split]] = True
+            stay = ~split
+            open_, left, right = open_[stay], left[stay], right[stay]
     return boundary
 
 
 def covered_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(document, start, end) of the ranges of the texts' windows that also start earlier, among these texts.
 
-    Each text ends in a terminator of its own that equals nothing.
+    Each text ends in a terminator, a symbol that is in no window.
     """
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes + 1)
     begin = ends - sizes - 1
-    symbols = np.empty(int(ends[-1]), np.int64)
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    symbols[:] = data
-    symbols += len(texts)
-    symbols[ends - 1] = np.arange(len(texts))
+    dense = np.zeros(256, np.uint16)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    dense[used] = np.arange(1, len(used) + 1)
+    symbols = dense[data]
+    symbols[ends - 1] = 0
     order = suffix_array(symbols, length)
     boundary = equal_prefixes(symbols, order, length)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
@@ -386,23 +390,54 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
+_BYTE_NAMES = ["kind", "h", "h2", "doc_id", "lo", "at", "bytes"]
+
+
+def _byte_rows(*columns: Iterable) -> pa.RecordBatch:
+    kinds = (pa.int32(), *[pa.int64()] * 5, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, np.ndarray) else list(c), t) for c, t in zip(columns, kinds, strict=True)], names=_BYTE_NAMES)
+
+
+def _distinct_windows(h: np.ndarray, h2: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for the first of the equal windows of a batch, and one for each run of the others, which are covered (``at``: its end)."""
+    order = np.lexsort((lo, doc, h2, h))
+    h, h2, doc, lo = h[order], h2[order], doc[order], lo[order]
+    again = np.append(False, (h[1:] == h[:-1]) & (h2[1:] == h2[:-1]))
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+    repeat = again & ~((doc == doc[first]) & (lo == lo[first]))
+    new = ~again
+    n = int(new.sum())
+    yield _byte_rows(np.full(n, COMMON, np.int32), h[new], h2[new], doc[new], lo[new], np.zeros(n, np.int64), [None] * n)
+    doc, lo = doc[repeat], lo[repeat]
+    if len(doc):
+        order = np.lexsort((lo, doc))
+        doc, lo = doc[order], lo[order]
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > lo[:-1] + 1)))
+        tail = np.append(head[1:], len(doc)) - 1
+        n, zero = len(head), np.zeros(len(head), np.int64)
+        yield _byte_rows(np.full(n, COVERED, np.int32), zero, zero, doc[head], lo[head], lo[tail] + LENGTH, [None] * n)
+
+
 def _with_bytes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``kind, h, h2, doc_id, lo, at, bytes``: contexts with their bytes; of those by windows, a row for each window (h, h2 its hashes)."""
+    """``kind, h, h2, doc_id, lo, at, bytes``: contexts with their bytes; of those by windows, a row for each window that is new in
+    its batch (h, h2 its hashes) and one for each run of those that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            windows: list[tuple] = []
             for doc_id, packed, places in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "packed", "places")), strict=True):
                 data = _unpacked(packed)
                 parts: list[tuple] = [(CONTEXT, p["h"], 0, doc_id, p["lo"], p["at"] - p["lo"], data[p["lo"] : p["hi"]]) for p in places if p["kind"] == CONTEXT]
+                if parts:
+                    yield _byte_rows(*zip(*parts, strict=True))
                 for p in places:
                     if p["kind"] == COMMON:
                         piece = np.frombuffer(data, np.uint8)[p["lo"] : p["hi"]]
                         lo = np.arange(len(piece) - LENGTH + 1)
-                        one, two = (range_hashes(piece, lo, lo + LENGTH, w).view(np.int64).tolist() for w in (0, 1))
-                        parts += [(COMMON, a, b, doc_id, p["lo"] + i, 0, None) for i, (a, b) in enumerate(zip(one, two, strict=True))]
-                if parts:
-                    kinds = (pa.int32(), *[pa.int64()] * 5, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=["kind", "h", "h2", "doc_id", "lo", "at", "bytes"])
+                        one, two = (range_hashes(piece, lo, lo + LENGTH, w).view(np.int64) for w in (0, 1))
+                        windows.append((one, two, np.full(len(lo), doc_id, np.int64), lo + p["lo"]))
+            if windows:
+                yield from _distinct_windows(*(np.concatenate(c) for c in zip(*windows, strict=True)))
 
     places = rows.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "h", "lo", "hi", "at")).alias("places"))
     # repeated ids: one of the rows gives the bytes
@@ -423,7 +458,8 @@ def covered_ranges(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFra
     windows = placed.where(F.col("kind") == COMMON).select("h", "h2", "doc_id", "lo")
     firsts = windows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max(F.struct("doc_id", "lo")).alias("last")).where(F.col("first") != F.col("last"))
     by_windows = windows.join(firsts, ["h", "h2"]).where(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return covered.unionByName(by_blocks).unionByName(by_windows)
+    in_batches = placed.where(F.col("kind") == COVERED).select("doc_id", "lo", F.col("at").alias("hi"))
+    return covered.unionByName(by_blocks).unionByName(by_windows).unionByName(in_batches)
 
 
 def _cut(n: int, ranges: Iterable[int] | None) -> list[tuple[int, int]]:
