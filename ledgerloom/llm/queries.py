@@ -7,25 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, neardup, packing, sharding, suffixdedup, token_counts, toxicity, warc
+from . import decontaminate, langid, media, neardup, oracles, packing, sharding, suffixdedup, token_counts, toxicity, warc
 from .common import id_hash, stored, table
 
 SHARDS = 24
 
-OP4_SQL = """
-WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
-), d AS (
-  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p
-), k AS (
-  SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest
-)
-SELECT d.page_id, d.payload_bytes, d.payload_digest,
-  CASE WHEN k.keeper IS NULL OR d.page_id = k.keeper THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN k.keeper IS NULL OR d.page_id = k.keeper THEN NULL ELSE k.keeper END AS refers_to
-FROM d LEFT JOIN k USING (payload_digest)
-"""
-
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
@@ -97,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL}
+    return {"op4_warc": oracles.OP4, "op6_minhash": oracles.OP6, "op7_suffix_dedup": oracles.OP7}

@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS) -> Toxi
     vocabulary = {w: i for i, w in enumerate(sorted(voters.known))}
     model = Toxicity(voters, vocabulary, np.zeros(len(voters.names) + len(vocabulary) + 4))
     if not totals[1]:
-        model.coefficients[-4:] = (4.0, 0.5, 0.5, -3.0)
+        model.coefficients[-4:] = (1.0, 0.5, 3.0, -3.0)
         return model
     hits, given = [], []
     for row in sample.toLocalIterator():

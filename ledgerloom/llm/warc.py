@@ -31,6 +31,8 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "none"
+#: Fields that every record has, in lower case.
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 # --------------------------------------------------------------------------- writing
@@ -140,7 +142,9 @@ def parse_record(data: bytes, at: int) -> tuple[Found, int]:
         if not colon:
             raise Damaged("bad header line")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    length = headers.get("content-length", "")
+    if not all(headers.get(name) for name in MANDATORY):
+        raise Damaged("mandatory field missing")
+    length = headers["content-length"]
     if not length.isascii() or not length.isdigit():
         raise Damaged("bad content length")
     body = stop + 4
@@ -185,11 +189,8 @@ def _record_at(data: bytes, at: int) -> tuple[list[Found], int]:
 
 
 def _next_start(data: bytes, at: int) -> int:
-    """The next place at or after ``at`` that looks like a member or a version line at a line's start."""
-    line = data.find(b"\nWARC/1.", max(0, at - 1))
-    magic = data.find(MAGIC, at)
-    places = ([magic] if magic >= 0 else []) + ([line + 1] if line >= 0 else [])
-    return min(places, default=len(data))
+    """The next place from ``at`` on that looks like a member or a version line; damage can have joined that to what precedes it."""
+    return min((p for p in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if p >= 0), default=len(data))
 
 
 def salvage(data: bytes) -> Iterator[Found]:
