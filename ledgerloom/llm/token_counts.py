@@ -18,8 +18,8 @@ from .common import map_batches
 MODEL = "piece_bpe_32k.model"
 #: The word mark that the model's pieces use.
 MARK = "▁"
-#: A worker's trie starts anew beyond this many nodes (about 100 MB).
-MAX_NODES = 400_000
+#: A worker's trie starts anew beyond this many nodes (about 250 MB).
+MAX_NODES = 1_000_000
 #: Longer pre-tokens are scored without the trie, by the same rule, in constant memory.
 LONG = 4096
 #: Natural-log units by which a byte of an unknown character is less likely than the rarest piece.
