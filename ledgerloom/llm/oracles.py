@@ -53,3 +53,24 @@ k AS (
 SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM s LEFT JOIN k USING (doc_id)
 """
+
+#: CRC-32 byte by byte with a table made from the polynomial; the slot map by its rule; positions in shard order.
+OP9 = """
+WITH t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+), x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, len(x) // 2 + 8 AS size, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM x),
+c AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4096 AS vslot FROM b, t
+), p AS (
+  SELECT *, CAST('0x' || substr(md5(concat_ws('/', doc_id, size, text_crc32)), 9, 8) AS BIGINT) % 16 AS part,
+    list_reduce(list_prepend(CAST(0 AS BIGINT), range(2, 25)), lambda s, n: CASE WHEN CAST('0x' || substr(md5(CAST(vslot AS VARCHAR) || '/' || CAST(n AS VARCHAR)), 1, 8) AS BIGINT) % n = 0 THEN n - 1 ELSE s END) AS shard
+  FROM c
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, part, doc_id, size, text_crc32) - 1 AS slot,
+  CAST(CASE WHEN CAST('0x' || substr(md5(CAST(vslot AS VARCHAR) || '/25'), 1, 8) AS BIGINT) % 25 = 0 THEN 24 ELSE shard END AS INT) AS grown_shard,
+  CAST(vslot AS INT) AS vslot, CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS slot_bytes, 1 AS map_version
+FROM p
+"""

@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": oracles.OP4, "op6_minhash": oracles.OP6, "op7_suffix_dedup": oracles.OP7}
+    return {"op4_warc": oracles.OP4, "op6_minhash": oracles.OP6, "op7_suffix_dedup": oracles.OP7, "op9_sharding": oracles.OP9}

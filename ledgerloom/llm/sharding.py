@@ -88,7 +88,7 @@ def shard_records(docs: DataFrame, shards: int) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     ).select("*", virtual_slot(F.col("doc_id")).alias("vslot"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int"))
+    rows = rows.withColumn("part", _hex_mod(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.col("text_crc32").cast("string")), 9, PARTS).cast("int"))
     one = initial_map(spark, shards)
     both = one.select("vslot", "shard", F.col("version")).join(grow(one, shards).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
     counts = rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
