@@ -51,8 +51,12 @@ def admitted(requests: DataFrame, limit: int, seconds: int, client: str = "clien
     return dealt.mapInArrow(run, schema).drop("_micros")
 
 
-def admitted_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The same over a stream of ``client, ts``: the admitted times are the client's state, dropped a period after its last request."""
+def admitted_stream(requests: DataFrame, limit: int, seconds: int, evict: bool = False) -> DataFrame:
+    """The same over a stream of ``client, ts``: the admitted times, ``limit`` at most, are the client's state.
+
+    ``evict``: for streams that never end, state goes a period after the client's last request by the clock (such a query
+    keeps running batches for that, so it must not be run for what is available only).
+    """
     period = seconds * 1_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -61,10 +65,12 @@ def admitted_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
             return
         times = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        micros = rows["ts"].astype("int64") // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)
+        micros = rows["ts"].astype("datetime64[us]").astype("int64")
         rows["admitted"] = [admit(times, int(now), limit, period) for now in micros]
         state.update((list(times),))
-        state.setTimeoutDuration(seconds * 1000)
+        if evict:
+            state.setTimeoutDuration(seconds * 1000)
         yield rows[["client", "ts", "admitted"]]
 
-    return requests.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, admitted boolean", "times array<bigint>", "append", "ProcessingTimeTimeout")
+    timeout = "ProcessingTimeTimeout" if evict else "NoTimeout"
+    return requests.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, admitted boolean", "times array<bigint>", "append", timeout)
