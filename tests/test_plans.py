@@ -10,7 +10,7 @@ import pytest
 from ledgerloom.plans import catalogue
 
 ROOT = Path(__file__).resolve().parents[1]
-PYTHON = {"q_block_parse", "q_block_parse_totals", "q_chunks", "q_chunk_coverage", "q_dedup_fuzzy", "q_dedup_three_passes", "q_payloads", "q_rate_limit", "q_responses"}
+PYTHON = {"q_block_parse", "q_fallback_chain", "q_block_parse_totals", "q_chunks", "q_chunk_coverage", "q_dedup_fuzzy", "q_dedup_three_passes", "q_payloads", "q_rate_limit", "q_responses"}
 
 
 def plan(df):
