@@ -35,7 +35,7 @@ PIECE = 1_000_000
 #: Contexts of one anchor that go into a block; more go by the windows' hashes.
 MAX_CONTEXTS = 1500
 #: Bytes of a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: One in so many documents is looked at for common anchors. These are dealt by their contexts' hash too; this moves rows, it changes no result.
 SAMPLE = 64
 #: An anchor is common if it is in this share of the sample, and the sample has it this often; the commonest MAX_COMMON are.
@@ -548,6 +548,7 @@ def cut_texts(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
             out.append(left if left.strip() else None)
         return pd.Series(out, dtype=object)
 
+    cut = cut.asNondeterministic()  # else the filter on its result runs it again
     ranges = _ranges_by_document(docs, max_contexts).select(F.col("doc_id").alias("_cut_id"), F.col("ranges").alias("_ranges"))
     joined = docs.join(ranges, docs["doc_id"] == F.col("_cut_id"), "left")
     done = joined.select(*[F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(cut("text", "_ranges")).alias("text") if c == "text" else docs[c] for c in docs.columns], "_ranges")
