@@ -45,10 +45,13 @@ def drop_fuzzy(rows: DataFrame, ratio: float = DEFAULTS.fuzzy_ratio, on: str = "
 
     A row is a duplicate of an earlier kept key with its date and amount (not 0) if their narrations are alike to ``ratio``; the first
     such key takes the fuller record but keeps its own narration. Both rules ask for the same document, date and amount, so rows
-    are grouped by those: a group is one day's bookings of one amount in one document. ``slot`` is the place in the output.
+    are grouped by those: a group is one day's bookings of one amount in one document; a booking alone in its group needs no
+    Python. ``slot`` is the place in the output.
     """
     k = _keyed(rows)
-    dated = k.where(F.coalesce("tran_date", F.lit("")) != "")
+    dated = k.where(F.coalesce("tran_date", F.lit("")) != "").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(on, "tran_date", "_amt")))
+    alone = dated.where("_n = 1").drop("_n").withColumn("slot", F.col("seq").cast("bigint"))
+    dated = dated.where("_n > 1").drop("_n")
     fields = [f for f in k.schema.fields]
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +74,7 @@ def drop_fuzzy(rows: DataFrame, ratio: float = DEFAULTS.fuzzy_ratio, on: str = "
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", slot bigint"
     solved = dated.groupBy(on, "tran_date", "_amt").applyInPandas(greedy, schema)
     undated = k.where(F.coalesce("tran_date", F.lit("")) == "").withColumn("slot", F.col("seq").cast("bigint"))
-    return solved.unionByName(undated).drop(*_KEYS)
+    return solved.unionByName(alone).unionByName(undated).drop(*_KEYS)
 
 
 def similar_pairs(rows: DataFrame, max_share: float = 0.1, on: str = "doc_id") -> DataFrame:
