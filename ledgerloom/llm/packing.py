@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from .common import map_batches, stored
 
 #: Vocabulary in the form that the faster library reads; the ids are those of byte_bpe_50k.json (tested).
 RANKS = "byte_bpe_50k.tiktoken"
+NAMED = "byte_bpe_50k.json"
 VOCABULARY = 50257
 END = 0
 WINDOW = 1024
@@ -27,13 +29,24 @@ K1 = 1.2
 B = 0.75
 
 
+@functools.lru_cache(maxsize=1)
+def added_tokens() -> dict[str, int]:
+    """The markers that the named tokenizer finds in texts before it splits them, and their ids."""
+    with open(public_tokenizers.path(NAMED), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @functools.lru_cache(maxsize=2)
 def load_encoder(path: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens())
+
+
+def encode_text(encoder, text: str) -> list[int]:
+    return encoder.encode(text, allowed_special="all")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -50,11 +63,11 @@ def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int =
     path = ranks_path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(path).encode_ordinary
+        encoder = load_encoder(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), END], np.uint16)
+                ids = np.array([*encode_text(encoder, text or ""), END], np.uint16)
                 n = len(ids)
                 for start in range(0, n, window):
                     part = ids[start : start + window]

@@ -20,6 +20,17 @@ def test_ids_are_those_of_the_named_tokenizer(hard_rows):
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encode(x) for x in texts]
 
 
+def test_markers_get_the_named_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    m = "<|endoftext|>"
+    texts = [f"x{m}y", f"a  {m}  b", m * 3, f"it{m}'s\n\n{m}", m[:-1], m.upper(), f"é́{m}😀"]
+    want = {i: [*e.ids, packing.END] for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+    rows = packing.cut_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], np.uint16).tolist() for r in rows} == want
+
+
 def check_packed(rows, docs, window=1024):
     encode = packing.load_encoder(public_tokenizers.path(packing.RANKS)).encode_ordinary
     seqs, pieces = defaultdict(list), defaultdict(list)
