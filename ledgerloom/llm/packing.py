@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
+from .neardup import components
 
 #: Vocabulary in the form that the faster library reads; the ids are those of byte_bpe_50k.json (tested).
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,6 +26,14 @@ END = 0
 WINDOW = 1024
 #: Pieces of one index shard: bounds a worker's memory and the work of one query.
 SHARD_PIECES = 2048
+#: Term shards that each piece is in and asks for its best neighbour.
+ROUTES = 8
+#: A piece's routes are the smallest hashes among this many of its weightiest ids.
+ROUTE_TERMS = 16
+#: Ids in more than one in this many pieces of a term shard are compared as a dense matrix.
+COMMON = 64
+#: Pairs of postings expanded at once.
+MAX_PAIRS = 1 << 21
 K1 = 1.2
 B = 0.75
 
@@ -49,8 +58,8 @@ def encode_text(encoder, text: str) -> list[int]:
     return encoder.encode(text, allowed_special="all")
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+_KINDS = [*[pa.int64()] * 6, pa.binary()]
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
@@ -59,11 +68,12 @@ def crc_of(ids: np.ndarray) -> int:
 
 
 def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Pieces of each document's ids: whole windows (``ids`` null, they need no neighbours) and the rest, below a window."""
+    """Pieces of each document's ids, numbered: whole windows (``ids`` null, they need no neighbours) and the rest, below a window."""
     path = ranks_path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -71,7 +81,8 @@ def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int =
                 n = len(ids)
                 for start in range(0, n, window):
                     part = ids[start : start + window]
-                    rows.append((doc_id, start, len(part), crc_of(part), n, part.tobytes() if len(part) < window else None))
+                    rows.append((number, doc_id, start, len(part), crc_of(part), n, part.tobytes() if len(part) < window else None))
+                    number += 1
             for k in range(0, len(rows), 4000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[k : k + 4000], strict=True), _KINDS, strict=True)], names=_NAMES)
 
@@ -110,35 +121,133 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
 
 
+def weights_of(t: np.ndarray, tf: np.ndarray, lengths: np.ndarray | int, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 weights of ids that occur ``tf`` times in pieces of ``lengths``."""
+    norm = K1 * (1 - B + B * lengths / max(1e-9, mean_length))
+    return (idf[t] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+
+
+def _orders() -> np.ndarray:
+    """For each route the place of each id in a random order."""
+    rng = np.random.default_rng(11)
+    return np.stack([rng.permutation(VOCABULARY) for _ in range(ROUTES)])
+
+
+def term_vectors(rest: DataFrame, idf: np.ndarray, mean_length: float, shared: np.ndarray) -> DataFrame:
+    """``piece, length, terms, counts, routes``: ids that other pieces have too, how often (255 at most), a route for each of ROUTES orders.
+
+    A route has the order's number and the two ids, of the ROUTE_TERMS weightiest, that come first in that order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _orders()
+        for batch in batches:
+            lengths, terms, counts, routes = [], [], [], []
+            for raw in batch.column(1).to_pylist():
+                ids = np.frombuffer(raw, np.uint16)
+                t, tf = np.unique(ids, return_counts=True)
+                keep = shared[t] & (idf[t] > 0)
+                t, tf = t[keep], tf[keep]
+                top = t[np.argsort(-weights_of(t, tf, len(ids), idf, mean_length), kind="stable")[:ROUTE_TERMS]]
+                first = np.sort(orders[:, top], axis=1)[:, :2].astype(np.int64)
+                lengths.append(len(ids))
+                terms.append(t.tobytes())
+                counts.append(np.minimum(tf, 255).astype(np.uint8).tobytes())
+                routes.append(((np.arange(ROUTES) << 32) + (first[:, 0] << 16) + first[:, -1]) if len(t) else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lengths, pa.int32()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(routes, pa.list_(pa.int64()))],
+                names=["piece", "length", "terms", "counts", "routes"],
+            )
+
+    return map_batches(rest.select("piece", "ids"), run, "piece long, length int, terms binary, counts binary, routes array<long>")
+
+
+def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """BM25 of all of a shard's ``n`` pieces for each as the query, in blocks of queries: (the first one, scores).
+
+    From ids, weights and pieces (ascending) of the postings. Ids in more than one piece of COMMON are multiplied as a dense
+    matrix, pairs of the others' postings are expanded.
+    """
+    _, t, df = np.unique(t, return_inverse=True, return_counts=True)
+    common = df * COMMON > n
+    place, dense = np.cumsum(common) - 1, common[t]
+    w = np.zeros((n, int(common.sum())), np.float32)
+    w[owner[dense], place[t[dense]]] = held[dense]
+    has = (w > 0).astype(np.float32)
+    t, owner, held = t[~dense], owner[~dense], held[~dense]
+    order = np.argsort(t, kind="stable")
+    owners, weights = owner[order].astype(np.int32), held[order]
+    first, last = np.searchsorted(t[order], t), np.searchsorted(t[order], t, side="right")
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    pairs = np.append(0, np.cumsum(last - first))[bounds]  # expanded by the pieces before each
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, min(lo + 256, n, int(np.searchsorted(pairs, pairs[lo] + MAX_PAIRS, side="right")) - 1))
+        a, b = bounds[lo], bounds[hi]
+        size = last[a:b] - first[a:b]
+        at = np.repeat(first[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        query = np.repeat((owner[a:b] - lo) * n, size)
+        yield lo, np.bincount(query + owners[at], weights[at], (hi - lo) * n).reshape(hi - lo, n) + has[lo:hi] @ w.T
+        lo = hi
+
+
+def best_in_shard(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece of a shard the other one of the highest BM25, and that (0: none shares an id)."""
+    best, score = np.zeros(n, np.int64), np.zeros(n)
+    for lo, m in shard_scores(t, held, owner, n):
+        rows = np.arange(len(m))
+        m[rows, lo + rows] = 0
+        best[lo : lo + len(m)] = m.argmax(axis=1)
+        score[lo : lo + len(m)] = m[rows, best[lo : lo + len(m)]]
+    return best, score
+
+
+def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """``a, b``: each piece and the best neighbour that any of its term shards has for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def search(rows: list[tuple]) -> pa.RecordBatch:
+            names, lengths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+            t, tf = np.frombuffer(b"".join(r[2] for r in rows), np.uint16), np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+            owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+            best, score = best_in_shard(t, weights_of(t, tf.astype(np.int64), lengths[owner], idf, mean_length), owner, len(rows))
+            some = score > 0
+            return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[best[some]]), pa.array(score[some])], names=["a", "b", "score"])
+
+        for batch in batches:
+            held += zip(*[batch.column(c).to_pylist() for c in ("piece", "length", "terms", "counts")], strict=True)
+            while len(held) >= shard_pieces:
+                yield search(held[:shard_pieces])
+                held = held[shard_pieces:]
+        if held:
+            yield search(held)
+
+    routed = vectors.select("piece", "length", "terms", "counts", F.explode("routes").alias("route"))
+    shards = routed.repartitionByRange("route", "piece").sortWithinPartitions("route", "piece").select("piece", "length", "terms", "counts")
+    found = map_batches(shards, run, "a long, b long, score double")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+
+
 class Shard:
-    """An inverted BM25 index of pieces: for each id, the pieces that have it and their weights."""
+    """A BM25 index of pieces: scores of all of them for each."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owners, weights, bounds = [], [], [], [0]
-        for i, ids in enumerate(pieces):
+        terms, weights, n = [], [], len(pieces)
+        for ids in pieces:
             t, tf = np.unique(ids, return_counts=True)
             keep = idf[t] > 0
-            t, tf = t[keep], tf[keep]
-            norm = K1 * (1 - B + B * len(ids) / max(1e-9, mean_length))
-            terms.append(t)
-            owners.append(np.full(len(t), i, np.int32))
-            weights.append((idf[t] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
-            bounds.append(bounds[-1] + len(t))
-        self.terms, self.bounds, self.n = np.concatenate(terms), bounds, len(pieces)
-        order = np.argsort(self.terms, kind="stable")
-        self.owners, self.weights = np.concatenate(owners)[order], np.concatenate(weights)[order]
-        ids, first = np.unique(self.terms[order], return_index=True)
-        last = np.append(first[1:], len(order))
-        slot = np.searchsorted(ids, self.terms)
-        self.first, self.last = first[slot], last[slot]
+            terms.append(t[keep])
+            weights.append(weights_of(t[keep], tf[keep], len(ids), idf, mean_length))
+        owner = np.repeat(np.arange(n), [len(t) for t in terms])
+        self.m = np.zeros((n, n), np.float32)
+        for lo, m in shard_scores(np.concatenate(terms), np.concatenate(weights), owner, n):
+            self.m[lo : lo + len(m)] = m
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every piece for all ids of the seed as a query."""
-        lo, hi = self.bounds[seed], self.bounds[seed + 1]
-        spans = [slice(a, b) for a, b in zip(self.first[lo:hi].tolist(), self.last[lo:hi].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        return self.m[seed]
 
 
 class Filler:
@@ -210,15 +319,24 @@ class Filler:
         self.open, self.room = [], self.window
 
 
+def deal(rest: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """``rest`` with ``together``, the same for pieces that best neighbours connect, and ``route``, the smallest of theirs."""
+    vectors = stored(term_vectors(rest, idf, mean, df >= 2), "vectors")
+    joined = components(best_neighbours(vectors, idf, mean, shard_pieces)).withColumnRenamed("node", "piece").withColumnRenamed("component", "together")
+    first = vectors.select("piece", F.get("routes", F.lit(0)).alias("route")).join(joined, "piece", "left").withColumn("together", F.coalesce("together", "piece"))
+    route = first.groupBy("together").agg(F.min("route").alias("route"))
+    return stored(rest.join(first.select("piece", "together").join(route, "together"), "piece"), "dealt")
+
+
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row for each piece of each document's ids in its sequence.
 
-    Whole windows of a document are sequences as they are. The other pieces are dealt by the rarest id that they share
-    with another piece, then a hash (range partitioning on both, so that a common one is split), into index
-    shards of at most ``shard_pieces``. In a shard, a seed's unused neighbours fill its window by descending BM25;
+    Whole windows of a document are sequences as they are. Each other piece asks ROUTES term shards for its best neighbour;
+    pieces that the best answers connect are dealt together (range partitioning, so that a large group is split) into
+    index shards of at most ``shard_pieces``. In a shard, a seed's unused neighbours fill its window by descending BM25;
     the last one is cut and seeds the next window; a window that neighbours don't fill takes the next piece.
     Document frequencies and lengths are of all pieces. What a task has left is cut into powers of two: no padding.
 
@@ -227,17 +345,6 @@ def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, s
     pieces = stored(cut_documents(docs, ranks_path, window), "pieces")
     df, n, mean = document_frequencies(pieces)
     idf = idf_of(df, n)
-    shared = np.where(df >= 2, df, np.iinfo(np.int64).max).astype(np.int64)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ties = [], []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, np.uint16)
-                keys.append(int(ids[shared[ids].argmin()]))
-                ties.append(zlib.crc32(raw))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32()), pa.array(ties, pa.int64())], names=[*batch.schema.names, "route", "tie"])
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filler = Filler(idf, mean, window)
         base, count = TaskContext.get().partitionId() << 33, 0
@@ -264,9 +371,8 @@ def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, s
             yield from emit(filler.shard(held))
         yield from emit(filler.rest())
 
-    rest = pieces.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids")
-    routed = map_batches(rest, route, "doc_id long, start long, doc_tokens long, ids binary, route int, tie long")
-    dealt = routed.repartitionByRange("route", "tie", "doc_id").sortWithinPartitions("route", "tie", "doc_id", "start")
+    rest = pieces.where("ids is not null").select("piece", "doc_id", "start", "doc_tokens", "ids")
+    dealt = deal(rest, df, idf, mean, shard_pieces).repartitionByRange("route", "together", "piece").sortWithinPartitions("route", "together", "piece")
     packed = map_batches(dealt.select("doc_id", "start", "doc_tokens", "ids"), fill, PACKED)
     whole = pieces.where("ids is null").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

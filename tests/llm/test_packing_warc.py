@@ -71,6 +71,24 @@ def test_packing_with_small_shards(spark, sf_dir):
     check_packed(packing.pack(docs, shard_pieces=16).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_best_neighbours_come_from_several_shards(spark, sf_dir):
+    """Recall of the best BM25 neighbour of all pieces, with shards so small that one of them can't have it."""
+    pieces = packing.stored(packing.cut_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces").where("ids is not null")
+    df, n, mean = packing.document_frequencies(pieces)
+    idf = packing.idf_of(df, n)
+    rows = pieces.orderBy("piece").collect()
+    index = packing.Shard([np.frombuffer(r["ids"], np.uint16) for r in rows], idf, mean)
+    np.fill_diagonal(index.m, 0)
+    at = {r["piece"]: i for i, r in enumerate(rows)}
+    size = max(2, n // 20)
+    best = {r["a"]: r["b"] for r in packing.best_neighbours(packing.term_vectors(pieces, idf, mean, df >= 2), idf, mean, size).collect()}
+    found = [index.m[i, at[best[p]]] >= index.m[i].max() * 0.999 for p, i in at.items() if p in best]
+    dealt = packing.deal(pieces, df, idf, mean, size).collect()
+    group = {r["piece"]: r["together"] for r in dealt}
+    assert len(dealt) == n and all(group[a] == group[b] for a, b in best.items())
+    assert len(found) > 0.9 * n and sum(found) > 0.4 * n
+
+
 def test_shard_scores_are_bm25():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(0, 30, rng.integers(3, 40)).astype(np.uint16) for _ in range(25)]
