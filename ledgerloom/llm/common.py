@@ -18,9 +18,11 @@ ARROW_BYTES = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a local one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 NAMED = "byte_bpe_50k.json"
 VOCABULARY = 50257
 END = 0
+#: Texts with so much white space on end go to the named tokenizer itself: the faster one's pattern search runs out of stack there.
+LONG_SPACE = 100_000
 WINDOW = 1024
 #: Pieces of one index shard: bounds a worker's memory and the work of one query.
 SHARD_PIECES = 2048
@@ -54,7 +57,22 @@ def load_encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens())
 
 
+@functools.lru_cache(maxsize=1)
+def named_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(NAMED))
+
+
+@functools.lru_cache(maxsize=1)
+def _long_space() -> re.Pattern:
+    return re.compile(r"\s{%d}" % LONG_SPACE)
+
+
 def encode_text(encoder, text: str) -> list[int]:
+    """The named tokenizer's ids, of whatever length the text or its white space is."""
+    if len(text) >= LONG_SPACE and _long_space().search(text):
+        return named_tokenizer().encode(text, add_special_tokens=False).ids
     return encoder.encode(text, allowed_special="all")
 
 
