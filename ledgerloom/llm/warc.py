@@ -44,6 +44,9 @@ def revisits(pages: DataFrame) -> DataFrame:
     Of equal payloads of MIN_REVISIT bytes or more that with the largest page_id is the response (all rows
     of that page_id, if it is repeated). Only digests that occur twice get a row in the joined
     side; counting combines before its shuffle, and the join is one whose large partitions Spark can split.
+
+    Null html is an empty payload, null urls and page_ids stay null (a null page_id is never the response others refer to, unless all
+    of its payload's are null; then each is a response). Repeated rows repeat, an empty table gives none, other columns are ignored.
     """
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes"))
@@ -87,7 +90,8 @@ def gzip_member(data: bytes) -> bytes:
 def write_volumes(records: DataFrame, compress: bool = True) -> DataFrame:
     """``volume, content``: each record a gzip member of its own (or plain), about VOLUME_BYTES a volume.
 
-    Takes the columns of ``revisits``. Map-only; a worker holds one volume.
+    Takes the columns of ``revisits``; others are ignored. Map-only; a worker holds one volume, which a very long payload exceeds alone.
+    No rows make no volume.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +120,16 @@ def files_as_volumes(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class Found:
-    """A record at a byte range of its volume, or a gap: a range without a valid record and the first failure in it."""
+    """A record at a byte range of its volume, or a gap: a range without a valid record and the first failure in it.
+
+    What is inside a gzip member has the member's range (up to the next start, if the member is broken), and its own in the member's plain bytes.
+    """
 
     start: int
     end: int
     reason: str | None = None
+    inner_start: int | None = None
+    inner_end: int | None = None
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
 
@@ -155,37 +164,31 @@ def parse_record(data: bytes, at: int) -> tuple[Found, int]:
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and len(digest) == 45 and digest[5:].lower() != hashlib.sha1(block).hexdigest():
         raise Damaged("block digest differs")
-    return Found(at, end + 4, None, headers, block), end + 4
-
-
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
-    plain, view = [], memoryview(data)
-    try:
-        while not z.eof and at < len(data):
-            plain.append(z.decompress(view[at : at + CHUNK]))
-            at += CHUNK
-    except zlib.error as e:
-        raise Damaged("gzip: " + str(e)) from None
-    if not z.eof:
-        raise Damaged("gzip member doesn't end")
-    return b"".join(plain), min(at, len(data)) - len(z.unused_data)
-
-
-def _record_at(data: bytes, at: int) -> tuple[list[Found], int]:
-    """The records of the gzip member at ``at``, or the plain record there."""
-    if data[at : at + 3] != MAGIC:
-        one, end = parse_record(data, at)
-        return [one], end
-    plain, end = _member(data, at)
-    found, inner = [], 0
-    while inner < len(plain):
-        one, inner = parse_record(plain, inner)
-        one.start, one.end = at, end
-        found.append(one)
-    if not found:
-        raise Damaged("gzip member is empty")
-    return found, end
+    return Found(at, end + 4, headers=headers, block=block), end + 4
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The plain bytes of the gzip member at ``at``, where it ends, and what is wrong with it.
+
+    Of a broken member, all bytes that the decompressor gives before it fails: the failing part is given again byte by byte.
+    """
+    view, first = memoryview(data), at
+
+    def inflate(step: int, until: int) -> tuple[list[bytes], int, object, str | None]:
+        z, plain, here = zlib.decompressobj(31), [], first
+        while not z.eof and here < len(data):
+            size = CHUNK if here + CHUNK <= until else step
+            try:
+                plain.append(z.decompress(view[here : here + size]))
+            except zlib.error as e:
+                return plain, here, z, "gzip: " + str(e)
+            here += size
+        return plain, min(here, len(data)), z, None if z.eof else "gzip member doesn't end"
+
+    plain, here, z, reason = inflate(CHUNK, len(data))
+    if reason and reason.startswith("gzip: "):
+        plain, here, z, reason = inflate(1, here)
+    return b"".join(plain), here if reason else here - len(z.unused_data), reason
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -193,13 +196,54 @@ def _next_start(data: bytes, at: int) -> int:
     return min((p for p in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if p >= 0), default=len(data))
 
 
+def _plain_records(plain: bytes) -> Iterator[Found]:
+    """Records and gaps of plain bytes; after a failed check the next version line is tried."""
+    at, gap = 0, None
+    while at < len(plain):
+        try:
+            one, end = parse_record(plain, at)
+        except Damaged as e:
+            end = plain.find(b"WARC/1.", at + 1)
+            end = len(plain) if end < 0 else end
+            gap = gap or Found(at, at, str(e))
+            gap.end = end
+        else:
+            if gap is not None:
+                yield gap
+                gap = None
+            yield one
+        at = end
+    if gap is not None:
+        yield gap
+
+
+def _inside(parts: list[Found], at: int, end: int) -> Iterator[Found]:
+    for one in parts:
+        one.inner_start, one.inner_end, one.start, one.end = one.start, one.end, at, end
+        yield one
+
+
 def salvage(data: bytes) -> Iterator[Found]:
-    """All valid records in order; each range between them is one gap with the first failure's reason."""
+    """All valid records in order; each range between them is one gap with the first failure's reason.
+
+    A gzip member may hold many records: those that are valid in it come out whatever is wrong with others, with its checksum
+    or with its end. Gaps inside a member say so by their inner range; a broken member is a gap itself, from its first byte on.
+    """
     at = 0
     gap: Found | None = None
     while at < len(data):
+        inner: list[Found] = []
         try:
-            found, end = _record_at(data, at)
+            if data[at : at + 3] == MAGIC:
+                plain, end, reason = _member(data, at)
+                inner = list(_plain_records(plain))
+                if not any(f.reason is None for f in inner):
+                    raise Damaged(reason or (inner[0].reason if inner else "gzip member is empty"))
+                if reason:  # where it would have ended is unknown
+                    end = _next_start(data, at + 1)
+            else:
+                one, end = parse_record(data, at)
+                inner, reason = [one], None
         except Damaged as e:
             if gap is None:
                 gap = Found(at, at, str(e))
@@ -209,7 +253,12 @@ def salvage(data: bytes) -> Iterator[Found]:
         if gap is not None:
             yield gap
             gap = None
-        yield from found
+        if data[at : at + 3] == MAGIC:
+            yield from _inside(inner, at, end)
+            if reason:
+                gap = Found(at, end, reason)
+        else:
+            yield inner[0]
         at = end
     if gap is not None:
         yield gap
@@ -221,14 +270,14 @@ def _id(value: str | None) -> int | None:
 
 
 READ_SCHEMA = (
-    "volume string, start long, end long, gap string, record_type string, page_id long, url string, refers_to long, "
+    "volume string, start long, end long, inner_start long, inner_end long, gap string, record_type string, page_id long, url string, refers_to long, "
     "payload_digest string, payload_bytes long, payload binary"
 )
 
 
 def _row(volume: str, f: Found, with_payload: bool) -> tuple:
     if f.reason is not None:
-        return (volume, f.start, f.end, f.reason, *[None] * 7)
+        return (volume, f.start, f.end, f.inner_start, f.inner_end, f.reason, *[None] * 7)
     h, (http, _, payload) = f.headers, f.block.partition(b"\r\n\r\n")
     kind = h.get("warc-type")
     if kind == "revisit":
@@ -238,16 +287,18 @@ def _row(volume: str, f: Found, with_payload: bool) -> tuple:
         payload = None
     else:
         digest, n = hashlib.sha1(payload).hexdigest(), len(payload)
-    return (volume, f.start, f.end, None, kind, _id(h.get("warc-record-id")), h.get("warc-target-uri"), _id(h.get("warc-refers-to")), digest, n, payload if with_payload else None)
+    return (volume, f.start, f.end, f.inner_start, f.inner_end, None, kind, _id(h.get("warc-record-id")), h.get("warc-target-uri"), _id(h.get("warc-refers-to")), digest, n, payload if with_payload else None)
 
 
 def read_volumes(volumes: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for each record, and for each quarantined gap (``gap`` has the reason, start and end its bytes).
+    """A row for each record, and for each quarantined gap (``gap`` has the reason, start and end its bytes, inner_start and inner_end its
+    bytes in a member's plain ones).
 
     Responses' lengths and digests are computed from what was read; revisits' are those of the response that
-    they name, from their headers. Null content has no rows.
+    they name, from their headers. Null and empty content has no rows, an empty table none either; a null volume name stays null,
+    repeated rows repeat, other columns are ignored. A worker holds one volume and one member's plain bytes.
     """
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

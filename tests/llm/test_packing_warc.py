@@ -31,6 +31,25 @@ def test_markers_get_the_named_tokenizers_ids(spark):
     assert {r["doc_id"]: np.frombuffer(r["ids"], np.uint16).tolist() for r in rows} == want
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " \n", "\u3000"])
+def test_very_long_white_space(space):
+    """At the length that goes to the named tokenizer and beyond; the faster one fails at a million."""
+    encoder = packing.load_encoder(public_tokenizers.path(packing.RANKS))
+    for n in (packing.LONG_SPACE // len(space) - 1, packing.LONG_SPACE, 1_200_000):
+        for text in (space * n, f"a b{space * n}c  d", f"{space * n}<|endoftext|>{space * 3}x"):
+            if n < packing.LONG_SPACE or n > packing.LONG_SPACE and text[0] == "a":
+                assert packing.encode_text(encoder, text) == packing.named_tokenizer().encode(text, add_special_tokens=False).ids
+            else:
+                assert encoder.decode(packing.encode_text(encoder, text)) == text
+
+
+def test_a_document_of_white_space_is_packed(spark):
+    rows = [(1, " " * 1_000_000), (2, "some words here"), (3, "x" + "\n" * 1_000_000 + "y")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3}
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == {r["doc_tokens"] for r in got if r["doc_id"] == 1}.pop()
+
+
 def check_packed(rows, docs, window=1024):
     encode = packing.load_encoder(public_tokenizers.path(packing.RANKS)).encode_ordinary
     seqs, pieces = defaultdict(list), defaultdict(list)
@@ -136,7 +155,7 @@ def test_salvage_whole(compress):
     found = list(warc.salvage(data))
     assert [f.reason for f in found] == [None] * 20
     rows = [warc._row("v", f, True) for f in found]
-    assert [(r[5], r[10]) for r in rows] == [(i, p) for i, p, _ in made]
+    assert [(r[7], r[12]) for r in rows] == [(i, p) for i, p, _ in made]
 
 
 @pytest.mark.parametrize("compress", [True, False])
@@ -171,6 +190,57 @@ def test_salvage_recovers_later_records_and_logs_the_gap(compress, harm):
     assert at == len(data)
 
 
+def salvaged(data):
+    found = list(warc.salvage(bytes(data)))
+    return [warc._id(f.headers["warc-record-id"]) for f in found if f.reason is None], [f for f in found if f.reason]
+
+
+def text_records(n):
+    return [warc.make_record(i, f"http://x/{i}", b" ".join(b"w%d" % ((i * 7 + k * k) % 5000) for k in range(3000)), "0" * 40, 5, None) for i in range(n)]
+
+
+def test_members_of_many_records_are_salvaged():
+    parts = text_records(5)
+    whole = warc.gzip_member(b"".join(parts))
+    assert salvaged(whole) == ([0, 1, 2, 3, 4], [])
+    # cut off: what came out before the end is read, the record that was cut is a gap in the plain bytes
+    ids, gaps = salvaged(whole[:-20])
+    assert ids == [0, 1, 2, 3, 4][: len(ids)] and len(ids) >= 4 and any("doesn't end" in g.reason for g in gaps)
+    ids, gaps = salvaged(whole[: len(whole) // 2])
+    assert ids[:2] == [0, 1] and len(gaps) == 2 and {g.inner_start is None for g in gaps} == {True, False}
+    # a flipped byte: the records before it, at least, and all of the members that follow
+    for at in (0.3, 0.5, 0.7, 0.9):
+        data = bytearray(whole)
+        data[int(len(whole) * at)] ^= 0x10
+        ids, gaps = salvaged(bytes(data) + whole)
+        assert ids[-5:] == [0, 1, 2, 3, 4] and ids[: int(5 * at) - 1] == list(range(int(5 * at) - 1)) and gaps
+    # only the checksum is wrong
+    assert salvaged(whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:])[0] == [0, 1, 2, 3, 4]
+
+
+def test_damage_inside_the_plain_bytes_of_a_valid_member():
+    parts = text_records(5)
+    parts[3] = parts[3].replace(b"w1", b"W1", 1)
+    ids, gaps = salvaged(warc.gzip_member(b"".join(parts)))
+    assert ids == [0, 1, 2, 4] and [(g.reason, g.inner_start, g.inner_end) for g in gaps] == [("block digest differs", sum(map(len, parts[:3])), sum(map(len, parts[:4])))]
+    ids, gaps = salvaged(b"".join(parts))
+    assert ids == [0, 1, 2, 4] and len(gaps) == 1
+
+
+def test_volumes_of_hard_rows(spark):
+    from pyspark.sql import functions as F
+
+    long = "x" * 3_000_000 + " é"
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (None, None, None)], "page_id bigint, url string, html string")
+    pages = pages.select("*", *[F.lit("z").alias(c) for c in ("payload", "digest", "n_bytes", "keeper", "refers_to", "volume", "content", "gap")])
+    volumes = warc.write_volumes(warc.revisits(pages)).withColumn("start", F.lit(5))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], r["gap"]) for r in warc.read_volumes(volumes).collect()}
+    n = len(long.encode())
+    assert got == {1: ("revisit", 2, n, None), 2: ("response", None, n, None), None: ("response", None, 0, None)}
+    empty = spark.createDataFrame([(None, None), ("v", b"")], "volume string, content binary")
+    assert warc.read_volumes(empty).count() == 0
+
+
 def test_salvage_of_nothing():
     assert list(warc.salvage(b"")) == []
     only = list(warc.salvage(b"no archive at all"))
