@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, map_batches
+from .common import as_bytes, map_batches, stored
 
 #: The payload is padded with spaces to a positive multiple of this many bytes, also the frame of the transform.
 UNIT = 192
@@ -20,8 +20,10 @@ HOP = UNIT // 2
 RATE = 8000
 #: Frames transformed at once: bounds memory for very long media.
 BLOCK_FRAMES = 8192
-#: A peak is the loudest bin of a frame that no frame this near surpasses.
+#: A peak is a bin that no other one surpasses among those as near as these, in frames and in bins, and LOUD times its frame's mean.
 REACH = 2
+REACH_BINS = 8
+LOUD = 4.0
 #: Each peak is paired with this many following peaks, at most SPAN frames away.
 FAN = 3
 SPAN = 63
@@ -51,32 +53,48 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
         return r.readframes(r.getnframes()), r.getframerate()
 
 
-def loudest_bins(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per frame of the short-time Fourier transform: the loudest bin above 0 and its power."""
-    frames = np.lib.stride_tricks.sliding_window_view(samples, UNIT)[::HOP]
-    bins, power = np.empty(len(frames), np.int64), np.empty(len(frames), np.float32)
-    for at in range(0, len(frames), BLOCK_FRAMES):
-        block = (frames[at : at + BLOCK_FRAMES].astype(np.float32) - 128.0) * _WINDOW
-        spectrum = np.fft.rfft(block, axis=1)[:, 1:]
-        loud = spectrum.real**2 + spectrum.imag**2
-        best = loud.argmax(axis=1)
-        bins[at : at + BLOCK_FRAMES] = best + 1
-        power[at : at + BLOCK_FRAMES] = loud[np.arange(len(best)), best]
-    return bins, power
+def spectrogram(samples: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Power of the short-time Fourier transform's bins above 0 in frames ``first`` to ``last``."""
+    part = samples[first * HOP : (last - 1) * HOP + UNIT]
+    frames = np.lib.stride_tricks.sliding_window_view(part, UNIT)[::HOP]
+    spectrum = np.fft.rfft((frames.astype(np.float32) - 128.0) * _WINDOW, axis=1)[:, 1:]
+    return (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
+
+
+def _highest_around(power: np.ndarray, reach: int, axis: int) -> np.ndarray:
+    out = power.copy()
+    for step in range(1, reach + 1):
+        ahead, behind = (slice(step, None), slice(None, -step))
+        a, b = ((ahead, slice(None)), (behind, slice(None))) if axis == 0 else ((slice(None), ahead), (slice(None), behind))
+        np.maximum(out[b], power[a], out=out[b])
+        np.maximum(out[a], power[b], out=out[a])
+    return out
+
+
+def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, bin) of the spectral peaks, by frame and bin. Works on BLOCK_FRAMES frames and those within reach of them."""
+    n = (len(samples) - UNIT) // HOP + 1
+    frames, bins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, n, BLOCK_FRAMES):
+        first, last = max(0, at - REACH), min(n, at + BLOCK_FRAMES + REACH)
+        power = spectrogram(samples, first, last)
+        high = _highest_around(_highest_around(power, REACH_BINS, 1), REACH, 0)
+        peak = (power >= high) & (power > LOUD * power.mean(axis=1, keepdims=True))
+        f, b = np.nonzero(peak[at - first : at - first + BLOCK_FRAMES])
+        frames.append(f + at)
+        bins.append(b + 1)
+    return np.concatenate(frames), np.concatenate(bins)
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame of the anchor, code) arrays; a code holds both bins (7 bits each) and the distance in frames (6 bits)."""
-    bins, power = loudest_bins(samples)
-    edge = np.pad(power, REACH, constant_values=-1.0)
-    around = np.lib.stride_tricks.sliding_window_view(edge, 2 * REACH + 1)
-    at = np.flatnonzero((power >= around.max(axis=1)) & (power > 0))
+    frames, bins = spectral_peaks(samples)
     times, codes = [], []
     for step in range(1, FAN + 1):
-        first, second = at[:-step], at[step:]
-        near = second - first <= SPAN
-        times.append(first[near])
-        codes.append(bins[first[near]] << 13 | bins[second[near]] << 6 | (second - first)[near])
+        gap = frames[step:] - frames[:-step]
+        near = gap <= SPAN
+        times.append(frames[:-step][near])
+        codes.append((bins[:-step] << 13 | bins[step:] << 6 | gap)[near])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order], c[order]
@@ -95,16 +113,30 @@ SCHEMA = (
 )
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data = [as_bytes(x) for x in batch.column(1).to_pylist()]
+        media = pa.array([to_wav(pad(x)) for x in data], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+
+
+def media_column(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes`` (of the text) and a binary ``media`` column (the WAV files), to be stored as a table.
+
+    Map-only. Null text counts as empty (one unit of spaces); a null ``doc_id`` stays null; repeated rows repeat; other columns
+    are ignored; an empty table gives an empty table.
+    """
+    return map_batches(docs.select(docs["doc_id"].cast("long"), docs["text"]), _encode, "doc_id long, n_bytes long, media binary")
+
+
+def _describe_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = as_bytes(text)
-            media = to_wav(pad(data))
+        for doc_id, n_bytes, media in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             payload, _ = from_wav(media)
             feature, t, c = describe(payload)
             rows.append(
-                (doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
+                (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
                  len(media), hashlib.sha256(media).hexdigest(), feature, t.astype(np.int32), c.astype(np.int32))
             )
         cols = list(zip(*rows, strict=True)) or [[]] * 10
@@ -112,23 +144,14 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """Each text as WAV and the features of what is read back from it.
-
-    Map-only: no shuffle, and a worker holds one batch of texts. Null text counts
-    as empty (one unit of spaces); a null ``doc_id`` stays null; repeated rows give
-    repeated results; columns besides ``doc_id`` and ``text`` are ignored; an empty
-    table gives an empty table.
-    """
-    return map_batches(docs.select(docs["doc_id"].cast("long"), docs["text"]), _featurise, SCHEMA)
+def describe_media(media: DataFrame) -> DataFrame:
+    """Features of a table with a media column (see ``media_column``), from the bytes read back out of each file."""
+    return map_batches(media.select("doc_id", "n_bytes", "media"), _describe_media, SCHEMA)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        media = [to_wav(pad(as_bytes(x))) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
-
+def media_features(docs: DataFrame) -> DataFrame:
+    """The texts' media column, stored as a table and read again, and the features of what is read.
 
-def media_column(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and a binary ``media`` column (the WAV files), to be stored as a table."""
-    return map_batches(docs.select(docs["doc_id"].cast("long"), docs["text"]), _encode, "doc_id long, media binary")
+    No shuffle, and a worker holds one batch of texts. See ``media_column`` for nulls, repeated rows and other columns.
+    """
+    return describe_media(stored(media_column(docs), "media"))

@@ -1,11 +1,15 @@
 """Media columns and token counts."""
 
+import cmath
 import hashlib
 import io
+import math
 import random
 import wave
 import zlib
 
+import numpy as np
+
 from ledgerloom.llm import media, token_counts
 from ledgerloom.llm.common import as_bytes
 
@@ -29,6 +33,43 @@ def test_fingerprint_is_of_whole_payload_and_bounded_in_blocks(monkeypatch):
     assert (whole[1][1:] >= whole[1][:-1]).all()
 
 
+def test_peaks_equal_a_naive_transform():
+    """Each bin of each frame as a sum of cosines and sines, and each neighbourhood looked through."""
+    rng = random.Random(8)
+    data = media.pad(bytes(int(128 + 60 * math.sin(k / 3) + 40 * math.sin(k * 1.3 + k * k / 40000) + rng.randrange(20)) for k in range(192 * 6)))
+    n, half = (len(data) - media.UNIT) // media.HOP + 1, media.UNIT // 2
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / (media.UNIT - 1)) for k in range(media.UNIT)]
+    power = []
+    for f in range(n):
+        x = [(data[f * media.HOP + k] - 128) * window[k] for k in range(media.UNIT)]
+        power.append([abs(sum(v * cmath.exp(-2j * math.pi * b * k / media.UNIT) for k, v in enumerate(x))) ** 2 for b in range(1, half + 1)])
+    want = []
+    for f in range(n):
+        for b in range(half):
+            around = [power[g][c] for g in range(max(0, f - media.REACH), min(n, f + media.REACH + 1)) for c in range(max(0, b - media.REACH_BINS), min(half, b + media.REACH_BINS + 1))]
+            if power[f][b] >= max(around) and power[f][b] > media.LOUD * sum(power[f]) / half:
+                want.append((f, b + 1))
+    frames, bins = media.spectral_peaks(np.frombuffer(data, np.uint8))
+    assert list(zip(frames.tolist(), bins.tolist(), strict=True)) == want and len(want) > 3
+    pairs = sorted((want[i][0], want[i][1] << 13 | want[j][1] << 6 | want[j][0] - want[i][0]) for i in range(len(want)) for j in range(i + 1, min(len(want), i + media.FAN + 1)) if want[j][0] - want[i][0] <= media.SPAN)
+    t, c = media.fingerprint(np.frombuffer(data, np.uint8))
+    assert list(zip(t.tolist(), c.tolist(), strict=True)) == pairs
+
+
+def test_a_frame_can_have_several_peaks():
+    k = np.arange(192 * 8)
+    rise = 40 * np.exp(-(((k - 768) / 200) ** 2))
+    x = 128 + rise * np.sin(2 * np.pi * 10 * k / 192) + rise * np.sin(2 * np.pi * 60 * k / 192)
+    frames, bins = media.spectral_peaks(np.round(x).astype(np.uint8))
+    assert {10, 60} <= set(bins.tolist()) and len(set(frames.tolist())) < len(frames)
+
+
+def test_the_media_table_is_stored(spark, hard_docs, hard_rows):
+    table = media.stored(media.media_column(hard_docs), "media")
+    assert table.inputFiles() and table.count() == len(hard_rows)
+    assert sorted(map(str, media.describe_media(table).collect())) == sorted(map(str, media.media_features(hard_docs).collect()))
+
+
 def test_query_columns(spark, hard_docs, hard_rows, no_docs):
     got = media.media_features(hard_docs).collect()
     assert len(got) == len(hard_rows)
