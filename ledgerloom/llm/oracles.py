@@ -54,7 +54,8 @@ SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BI
 FROM s LEFT JOIN k USING (doc_id)
 """
 
-#: CRC-32 byte by byte with a table made from the polynomial; the slot map by its rule; positions in shard order.
+#: CRC-32 byte by byte with a table made from the polynomial; the slot map by its rule; positions in shard order; the map balanced by
+#: bytes: slots beyond a shard's mean are laid out, in slot order, over the room below the mean of all shards.
 OP9 = """
 WITH t AS (
   SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
@@ -65,12 +66,18 @@ c AS (
   SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
     CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4096 AS vslot FROM b, t
 ), p AS (
-  SELECT *, CAST('0x' || substr(md5(concat_ws('/', doc_id, size, text_crc32)), 9, 8) AS BIGINT) % 16 AS part,
-    list_reduce(list_prepend(CAST(0 AS BIGINT), range(2, 25)), lambda s, n: CASE WHEN CAST('0x' || substr(md5(CAST(vslot AS VARCHAR) || '/' || CAST(n AS VARCHAR)), 1, 8) AS BIGINT) % n = 0 THEN n - 1 ELSE s END) AS shard
-  FROM c
-)
-SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, part, doc_id, size, text_crc32) - 1 AS slot,
-  CAST(CASE WHEN CAST('0x' || substr(md5(CAST(vslot AS VARCHAR) || '/25'), 1, 8) AS BIGINT) % 25 = 0 THEN 24 ELSE shard END AS INT) AS grown_shard,
-  CAST(vslot AS INT) AS vslot, CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS slot_bytes, 1 AS map_version
-FROM p
+  SELECT *, CAST('0x' || substr(md5(concat_ws('/', doc_id, size, text_crc32)), 9, 8) AS BIGINT) % 16 AS part FROM c
+), m AS (
+  SELECT range AS vslot, list_reduce(list_prepend(CAST(0 AS BIGINT), range(2, 25)), lambda s, n: CASE WHEN CAST('0x' || substr(md5(CAST(range AS VARCHAR) || '/' || CAST(n AS VARCHAR)), 1, 8) AS BIGINT) % n = 0 THEN n - 1 ELSE s END) AS shard
+  FROM range(4096)
+), l AS (SELECT m.vslot, m.shard, CAST(coalesce(sum(size), 0) AS BIGINT) AS b FROM m LEFT JOIN p USING (vslot) GROUP BY ALL),
+w AS (SELECT vslot, shard, b, 24 * b AS load, sum(b) OVER () AS total, sum(24 * b) OVER (PARTITION BY shard ORDER BY vslot) > sum(b) OVER () AND b > 0 AS moves FROM l),
+f AS (SELECT s.range AS shard, greatest(max(total), coalesce(sum(load) FILTER (NOT moves AND w.shard = s.range), 0)) - coalesce(sum(load) FILTER (NOT moves AND w.shard = s.range), 0) AS free FROM range(24) s, w GROUP BY 1),
+u AS (SELECT shard, sum(free) OVER (ORDER BY shard) AS upto FROM f),
+v AS (SELECT vslot, sum(load) OVER (ORDER BY vslot) - load // 2 AS mid FROM w WHERE moves),
+r AS (SELECT vslot, (SELECT min(u.shard) FROM u WHERE v.mid < u.upto) AS moved FROM v)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(m.shard AS INT) AS shard, row_number() OVER (PARTITION BY m.shard ORDER BY p.vslot, part, doc_id, size, text_crc32) - 1 AS slot,
+  CAST(CASE WHEN CAST('0x' || substr(md5(CAST(p.vslot AS VARCHAR) || '/25'), 1, 8) AS BIGINT) % 25 = 0 THEN 24 ELSE m.shard END AS INT) AS grown_shard,
+  CAST(p.vslot AS INT) AS vslot, CAST(sum(size) OVER (PARTITION BY p.vslot) AS BIGINT) AS slot_bytes, 1 AS map_version, CAST(coalesce(moved, m.shard) AS INT) AS balanced_shard
+FROM p JOIN m USING (vslot) LEFT JOIN r USING (vslot)
 """

@@ -1,15 +1,19 @@
 """Sharding by fixed virtual slots: DataFrame functions only.
 
-A record's virtual slot is a hash of its key; a versioned map assigns the slots to shards.
+A record's virtual slot is a hash of its key; a versioned map, stored as a table of edits, assigns the slots to shards.
 Growing edits the map: the new shard takes over every k-th slot of the old ones, so that
 records move only into it. ``rebalance`` edits the map by the bytes counted for each slot.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import scratch_dir, stored
+
 #: Virtual slots; fixed for good, as records find their shard by them.
 SLOTS = 4096
 #: Parts of a virtual slot that are numbered apart, so that no task numbers a whole shard.
@@ -45,6 +49,33 @@ def grow(slot_map: DataFrame, shards: int) -> DataFrame:
     return slot_map.select("vslot", F.when(_moves(F.col("vslot"), shards + 1), F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"), (F.col("version") + 1).alias("version"))
 
 
+class SlotMap:
+    """The stored map: a Parquet table of edits (``vslot, shard, version``), one folder for each version.
+
+    Version 1 has all slots; a later one has the slots alone that it moves. A reader of version v takes each slot's last edit up to v.
+    At most SLOTS rows a version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.versions = spark, path, 0
+
+    def store(self, edited: DataFrame) -> int:
+        """Write the next version: the slots of ``edited`` (all of them) whose shard is another one than before."""
+        version = self.versions + 1
+        if self.versions:
+            before = self.read().select("vslot", F.col("shard").alias("_before"))
+            edited = edited.join(before, "vslot").where(F.col("shard") != F.col("_before"))
+        edited.select("vslot", "shard", F.lit(version).alias("version")).coalesce(1).write.parquet(f"{self.path}/v{version}")
+        self.versions = version
+        return version
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """``vslot, shard, version`` of all slots as of a version (the last one); ``version`` is that one, whichever edit placed the slot."""
+        last = version or self.versions
+        edits = self.spark.read.schema("vslot int, shard int, version int").parquet(*[f"{self.path}/v{v}" for v in range(1, last + 1)])
+        return edits.groupBy("vslot").agg(F.max_by("shard", "version").alias("shard")).select("vslot", "shard", F.lit(last).alias("version"))
+
+
 def slot_bytes(records: DataFrame) -> DataFrame:
     """``vslot, rows, bytes`` from rows with ``vslot`` and ``size``: at most one row for each slot."""
     return records.groupBy("vslot").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
@@ -55,31 +86,31 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
 
     Works on one row for each slot (SLOTS at most), in slot order: a slot stays while its shard's running
     bytes are within the mean; the others are laid out over the free room of all shards. Slots without bytes stay.
+    All in whole numbers: bytes times the number of shards, against the sum of all bytes.
     """
-    m = slot_map.join(loads.select("vslot", "bytes"), "vslot", "left").fillna(0, ["bytes"])
+    m = slot_map.join(loads.select("vslot", "bytes"), "vslot", "left").fillna(0, ["bytes"]).withColumn("load", F.col("bytes") * shards)
     run = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("mean", F.sum("bytes").over(Window.partitionBy(F.lit(0))) / shards)
-    m = m.withColumn("running", F.sum("bytes").over(run)).withColumn("moves", (F.col("running") > F.col("mean")) & (F.col("bytes") > 0))
-    spark = slot_map.sparkSession
-    kept = m.groupBy("shard").agg(F.sum(F.when(F.col("moves"), 0).otherwise(F.col("bytes"))).alias("kept"))
-    mean = F.max("mean").over(Window.partitionBy(F.lit(0)))
-    room = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(0.0).alias("_none")).join(kept, "shard", "left").fillna(0, ["kept"])
-    room = room.join(m.groupBy("shard").agg(F.max("mean").alias("mean")), "shard", "left").withColumn("mean", mean)
-    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    room = room.withColumn("free", F.greatest(F.col("mean") - F.col("kept"), F.lit(0.0))).withColumn("upto", F.sum("free").over(upto)).withColumn("above", F.col("upto") - F.col("free"))
-    order = Window.orderBy("vslot").rowsBetween(Window.unboundedPreceding, 0)
-    moved = m.where("moves").withColumn("mid", F.sum("bytes").over(order) - F.col("bytes") / 2)
-    placed = moved.join(F.broadcast(room.select(F.col("shard").alias("to"), "above", "upto")), (F.col("mid") >= F.col("above")) & (F.col("mid") < F.col("upto")), "left").select("vslot", "to")
-    return slot_map.join(placed, "vslot", "left").select("vslot", F.coalesce("to", "shard").alias("shard"), (F.col("version") + 1).alias("version"))
+    every = Window.partitionBy(F.lit(0))
+    m = m.withColumn("total", F.sum("bytes").over(every)).withColumn("moves", (F.sum("load").over(run) > F.col("total")) & (F.col("bytes") > 0))
+    kept = m.groupBy("shard").agg(F.max("total").alias("total"), F.sum(F.when(F.col("moves"), F.lit(0).cast("long")).otherwise(F.col("load"))).alias("kept")).collect()  # a row for each shard
+    total, kept_of = max((r["total"] for r in kept), default=0), {r["shard"]: r["kept"] for r in kept}
+    to, upto = F.lit(None).cast("int"), 0
+    for shard, end in reversed([(k, upto := upto + max(0, total - kept_of.get(k, 0))) for k in range(shards)]):
+        to = F.when(F.col("mid") < end, shard).otherwise(to)
+    moved = m.where("moves").withColumn("mid", F.sum("load").over(every.orderBy("vslot").rowsBetween(Window.unboundedPreceding, 0)) - F.expr("load div 2"))
+    placed = moved.select("vslot", to.alias("to"))
+    return slot_map.join(F.broadcast(placed), "vslot", "left").select("vslot", F.coalesce("to", "shard").alias("shard"), (F.col("version") + 1).alias("version"))
 
 
 def shard_records(docs: DataFrame, shards: int) -> DataFrame:
     """Each record's shard under the key law, its gapless position there, and its shard after one more was added.
 
-    ``doc_id`` and the shard count decide the shard. The shuffle carries ids and sizes only, dealt by (virtual slot,
-    part); positions are a part's offset (from SLOTS * PARTS counts) plus the row's number in its part. The slot map and the
+    ``doc_id`` and the shard count decide the shard. Three versions of the slot map are stored and read back: the first for
+    ``shards``, the second after growing by one, the third after rebalancing the first by the bytes counted for each slot (``balanced_shard``,
+    which the key law doesn't use). The shuffle carries ids and sizes only, dealt by (virtual slot,
+    part); positions are a part's offset (from SLOTS * PARTS counts) plus the row's number in its part. The maps and the
     offsets are broadcast: SLOTS and SLOTS * PARTS rows at most. Null text: 8 bytes, checksum 0. Null ids: slot 0. Repeated
-    rows get positions of their own. Other columns are ignored.
+    rows get positions of their own. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -89,15 +120,20 @@ def shard_records(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
     ).select("*", virtual_slot(F.col("doc_id")).alias("vslot"))
     rows = rows.withColumn("part", _hex_mod(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.col("text_crc32").cast("string")), 9, PARTS).cast("int"))
-    one = initial_map(spark, shards)
-    both = one.select("vslot", "shard", F.col("version")).join(grow(one, shards).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
-    counts = rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    parts = stored(rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")), "slot-parts")
+    loads = parts.groupBy("vslot").agg(F.sum("bytes").alias("bytes"))
+    maps = SlotMap(spark, f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}")
+    first = maps.store(initial_map(spark, shards))
+    grown = maps.store(grow(maps.read(first), shards))
+    balanced = maps.store(rebalance(maps.read(first), loads, shards))
+    one = maps.read(first).join(F.broadcast(maps.read(grown).select("vslot", F.col("shard").alias("grown_shard"))), "vslot")
+    one = one.join(F.broadcast(maps.read(balanced).select("vslot", F.col("shard").alias("balanced_shard"))), "vslot")
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.join(F.broadcast(both), "vslot").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = placed.withColumn("slot_bytes", F.sum("b").over(Window.partitionBy("vslot"))).drop("n", "b")
+    placed = parts.join(F.broadcast(one), "vslot").withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    placed = placed.join(F.broadcast(loads.select("vslot", F.col("bytes").alias("slot_bytes"))), "vslot").drop("rows", "bytes")
     number = Window.partitionBy("vslot", "part").orderBy("doc_id", "size", "text_crc32")
     numbered = rows.withColumn("at", F.row_number().over(number) - 1)
     return numbered.join(F.broadcast(placed), ["vslot", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("base") + F.col("at")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes", F.col("version").alias("map_version"),
+        (F.col("base") + F.col("at")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes", F.col("version").alias("map_version"), "balanced_shard",
     )
