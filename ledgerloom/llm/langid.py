@@ -27,7 +27,12 @@ EPOCHS = 8
 RATE = 0.004
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a letter category is there; number forms like a half or Roman eight are none."""
+    return text is not None and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 @dataclass
@@ -116,15 +121,23 @@ def train(windows: np.ndarray, classes: np.ndarray, labels: list[str], seed: int
 
 
 def fit(labelled: DataFrame, max_docs: int = SAMPLE_DOCS) -> ByteNet | None:
-    """Train on at most ``max_docs`` rows of (doc_id, text, lang), those first by a hash; None if no row has text and lang.
+    """Train on the first ``max_docs`` different rows of (doc_id, text, lang) by a hash of id and text; None if none has text and lang.
 
-    The ids are picked first; of the picked rows only SAMPLE_WINDOWS windows of WINDOW bytes reach the driver.
+    The hashes below twice the share that is wanted nearly always have enough different rows; where rows repeat so much that they
+    don't, all are looked at. Equal rows become one before they are shuffled: whatever ids and texts repeat, at most ``max_docs``
+    rows of SAMPLE_WINDOWS windows of WINDOW bytes reach the driver.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid"))
-    picked = usable.select("doc_id", order.alias("_order")).orderBy("_order", "doc_id").limit(max_docs).select("doc_id").distinct()
+    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("langid")), 1)
+    usable = labelled.where(F.col("lang").isNotNull()).withColumn("_place", place)
+    share = 2 * max_docs / max(1, labelled.count())
+    for below in ([int(share * (1 << 63))] if share < 1 else []) + [(1 << 63) - 1]:
+        within = usable.where((F.col("_place") <= below) & F.col("text").rlike(r"\p{L}"))
+        n, last = within.select("_place").distinct().orderBy("_place").limit(max_docs).agg(F.count(F.lit(1)), F.max("_place")).first()
+        if n == max_docs:
+            break
+    rows = within.where(F.col("_place") <= (last or 0)).select("_place", "lang", *_sample_windows("text")).distinct()
     pieces = []
-    for row in usable.join(F.broadcast(picked), "doc_id").select("lang", *_sample_windows("text")).collect():
+    for row in rows.orderBy("_place", "lang", "w0").limit(max_docs).collect():
         pieces += [(row["lang"], bytes(w)) for w in (row["w0"], row["w1"], row["w2"], row["w3"]) if w]
     if not pieces:
         return None
@@ -158,7 +171,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
-                if text is None or not _LETTER.search(text):
+                if not has_letter(text):
                     langs.append(UNDETERMINED)
                     scores.append(1.0)
                     continue

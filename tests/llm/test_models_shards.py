@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, queries, sharding, toxicity
@@ -36,6 +37,46 @@ def test_languages_of_hard_texts(spark, hard_docs, hard_rows, no_docs):
     assert {r["lang_pred"] for r in langid.predict(hard_docs, None).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark):
+    rows = [(1, "½ 12"), (2, "Ⅷ ①"), (3, "² ٣ _"), (4, "½ ñ"), (5, "日"), (6, "ª"), (7, None)]
+    net = langid.train(np.full((2, langid.WINDOW), 97, np.uint8), np.array([0, 1]), ["aa", "bb"])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), net).collect()}
+    assert [i for i in got if got[i] == "und"] == [1, 2, 3, 7]
+
+
+@pytest.mark.parametrize("texts", [1, 20_000])
+def test_fits_read_a_bounded_sample_whatever_repeats(spark, monkeypatch, texts):
+    """20,000 rows of two ids, with one text or as many."""
+    docs = spark.range(20_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("some idiot words "), F.col("id") % texts).alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, classes, labels: seen.append(len(windows)))
+    langid.fit(docs, max_docs=10)
+    assert seen[0] <= 10 * langid.SAMPLE_WINDOWS
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, toxic int")
+    assert toxicity.training_sample(docs, labels, max_docs=10).count() <= 10
+
+
+def naive_network(net, window):
+    """One window through the network, number by number."""
+    x = [[0.0] * langid.EMBED if b == 0 else net.embed[b].tolist() for b in window] + [[0.0] * langid.EMBED] * (max(langid.WIDTHS) - 1)
+    top = []
+    for f in range(net.kernel.shape[1]):
+        width = langid.WIDTHS[f // langid.FILTERS]
+        best = max(sum(x[i + j][e] * float(net.kernel[j * langid.EMBED + e, f]) for j in range(width) for e in range(langid.EMBED)) for i in range(len(window)))
+        top.append(max(0.0, best + float(net.bias[f])))
+    z = [sum(t * float(w) for t, w in zip(top, net.out[:, c], strict=True)) + float(net.out_bias[c]) for c in range(len(net.labels))]
+    e = [np.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_network_equals_a_naive_convolution():
+    rng = np.random.default_rng(4)
+    windows = rng.integers(0, 255, (40, langid.WINDOW)).astype(np.uint8)
+    net = langid.train(windows, np.arange(40) % 3, ["a", "b", "c"])
+    got = net.predict(windows[:3])
+    assert np.allclose(got, [naive_network(net, w) for w in windows[:3]], atol=1e-4)
+
+
 def test_network_gradient_learns():
     rng = np.random.default_rng(2)
     x = rng.integers(1, 255, (200, langid.WINDOW)).astype(np.uint8)
@@ -60,18 +101,53 @@ def test_held_out_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
-def test_label_model_finds_accuracies_and_correlation():
+def test_label_model_finds_accuracies_and_correlation_without_labels():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.3
-    vote = lambda right: np.where(rng.random(4000) < right, y, ~y).astype(int)
-    a, b, c, d = vote(0.95), vote(0.85), vote(0.9), vote(0.7)
-    votes = np.stack([a, b, c, d, d], axis=1)
-    start = np.where(a + b + c >= 2, 0.8, 0.2)
-    m = toxicity.fit_label_model(votes, start)
-    right = [m.tables[j, 1, 2] for j in range(4)]
-    assert right[0] > right[2] > right[1] > right[3]
-    assert m.correlations[3, 4] > 0.9 and m.weights[3] < 0.6 < m.weights[0]
-    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.93
+    n = 6000
+    y = rng.random(n) < 0.2
+    speak = lambda right, wrong: np.where(y, rng.random(n) < right, rng.random(n) < wrong).astype(int)
+    a, b, c, d = speak(0.9, 0.02), speak(0.7, 0.05), speak(0.8, 0.03), speak(0.5, 0.1)
+    copy = np.where(rng.random(n) < 0.95, d, 1 - d)
+    spoken = np.stack([a, b, c, d, copy, speak(0.1, 0.6)], axis=1)
+    m = toxicity.fit_label_model(spoken, np.array([True] * 5 + [False]))
+    post = m.posterior(spoken)
+    right = post @ spoken[:, :3] / post.sum()
+    assert right[0] > right[2] > right[1] and abs(m.prior - y.mean()) < 0.03
+    assert m.parent[3] == 4 or m.parent[4] == 3
+    assert m.information[3, 4] > 10 * m.information[0, 1]
+    assert ((m.posterior(spoken) > 0.5) == y).mean() > 0.97
+
+
+def naive_posterior(m, row):
+    odds = [1 - m.prior, m.prior]
+    for j, v in enumerate(row):
+        s = row[m.parent[j]] if m.parent[j] >= 0 else 0
+        for label in (0, 1):
+            p = m.speaks[label, j, s]
+            odds[label] *= p if v else 1 - p
+    return odds[1] / sum(odds)
+
+
+def test_posterior_equals_the_product_of_its_factors():
+    rng = np.random.default_rng(3)
+    spoken = rng.integers(0, 2, (300, 6))
+    spoken[:, 5] = spoken[:, 4]
+    m = toxicity.fit_label_model(spoken, np.array([True, True, False, True, True, True]), rounds=3)
+    assert np.allclose(m.posterior(spoken[:40]), [naive_posterior(m, r) for r in spoken[:40]])
+
+
+def test_score_equals_a_plain_sum():
+    """A text's score by its words one by one."""
+    voters = toxicity.make_voters(["idiot", "scum", "fool*"])
+    vocabulary = {w: i for i, w in enumerate(sorted(voters.known))}
+    model = toxicity.Toxicity(voters, vocabulary, np.random.default_rng(1).standard_normal(len(voters.names) + len(vocabulary) + 4))
+    text = "You are an idiot, a foolish idiot"
+    c, names = model.coefficients, voters.names
+    z = sum(c[names.index(f"word:{w}")] for w in ("idiot", "fool*")) + c[names.index("lexicon:0")]
+    z += c[names.index("pattern:two words")] + c[names.index("pattern:dense")] + c[names.index("pattern:addressed")]
+    z += c[len(names) + vocabulary["idiot"]] + c[len(names) + vocabulary["fool*"]]
+    z += c[-4] + c[-3] * np.log1p(3) + c[-2] * 1 + c[-1]
+    assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_toxicity_of_hard_texts(spark, hard_docs, hard_rows, no_docs):
@@ -122,6 +198,27 @@ def test_rebalance_by_bytes(spark):
     assert {r["version"] for r in new.collect()} == {2} and new.count() == sharding.SLOTS
 
 
+def test_the_map_is_stored_in_versions_of_edits(spark, tmp_path):
+    one = sharding.initial_map(spark, 24)
+    maps = sharding.SlotMap(spark, str(tmp_path / "map"))
+    assert maps.store(one) == 1 and maps.store(sharding.grow(maps.read(1), 24)) == 2
+    loads = spark.range(sharding.SLOTS).select(F.col("id").cast("int").alias("vslot"), (F.col("id") % 97).alias("bytes"))
+    want = {r["vslot"]: r["shard"] for r in sharding.rebalance(maps.read(1), loads, 24).collect()}
+    assert maps.store(sharding.rebalance(maps.read(1), loads, 24)) == 3
+    placed = [{r["vslot"]: r["shard"] for r in maps.read(v).collect()} for v in (1, 2, 3)]
+    assert placed[0] == {r["vslot"]: r["shard"] for r in one.collect()} and placed[2] == want
+    grown = {r["vslot"]: r["shard"] for r in sharding.grow(one, 24).collect()}
+    assert placed[1] == grown and {r["version"] for r in maps.read(2).collect()} == {2}
+    edits = spark.read.parquet(f"{maps.path}/v2").collect()
+    assert {r["vslot"] for r in edits} == {v for v in grown if grown[v] != placed[0][v]} and len(edits) < 400
+
+
+def test_the_query_balances_bytes(spark, sf_dir):
+    rows = queries.op9_sharding(spark, sf_dir).collect()
+    spread = lambda name: [sum(r["size"] for r in rows if r[name] == k) for k in range(24)]
+    assert max(spread("balanced_shard")) < max(spread("shard")) and sum(spread("balanced_shard")) == sum(r["size"] for r in rows)
+
+
 def test_native_plan(spark, sf_dir):
     text = queries.op9_sharding(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
