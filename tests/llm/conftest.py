@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names operators use inside; they have to be ignored or carried.
-CLASHING = "score double, digest string, rep bigint, h bigint, lo bigint, kind int, ids binary, words binary, component_id bigint, ranges string"
+CLASHING = "score double, digest string, rep bigint, h bigint, lo bigint, kind int, ids binary, words binary, component_id bigint, ranges string, _nth int, _kept_id bigint, _ranges string, _cut_id bigint, _words binary, salt int, band bigint, cell string"
 
 
 def words(n, seed):
