@@ -17,6 +17,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier, in a
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -549,7 +550,8 @@ def cut_texts(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     cut = cut.asNondeterministic()  # else the filter on its result runs it again
-    ranges = _ranges_by_document(docs, max_contexts).select(F.col("doc_id").alias("_cut_id"), F.col("ranges").alias("_ranges"))
-    joined = docs.join(ranges, docs["doc_id"] == F.col("_cut_id"), "left")
-    done = joined.select(*[F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(cut("text", "_ranges")).alias("text") if c == "text" else docs[c] for c in docs.columns], "_ranges")
-    return done.where(F.col("_ranges").isNull() | F.col("text").isNotNull()).drop("_ranges")
+    cut_id, found = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "ranges"))  # no column of docs is called so
+    ranges = _ranges_by_document(docs, max_contexts).select(F.col("doc_id").alias(cut_id), F.col("ranges").alias(found))
+    joined = docs.join(ranges, docs["doc_id"] == F.col(cut_id), "left")
+    done = joined.select(*[F.when(F.col(found).isNull(), F.col("text")).otherwise(cut("text", found)).alias("text") if c == "text" else docs[c] for c in docs.columns], found)
+    return done.where(F.col(found).isNull() | F.col("text").isNotNull()).drop(found)

@@ -68,6 +68,30 @@ def test_near_duplicates(spark, percent, chunk, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_a_documents_texts_all_link_it(spark, parts):
+    """Rows that share a doc_id: each text's links count, however the rows come."""
+    rng = random.Random(4)
+    a, b, c = (words(rng, 100) for _ in range(3))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(mutated(rng, b, 1))), (3, " ".join(a)), (3, " ".join(c)), (4, " ".join(mutated(rng, c, 1))), (9, " ".join(words(rng, 100))), (1, None)]
+    for order in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, DOCS).repartition(parts)).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
+def test_a_large_bucket_of_copies_needs_no_cells(spark):
+    """Copies of one text, near to it: pivots link them all, and no cell of two chunks is left."""
+    rng = random.Random(7)
+    base = words(rng, 300)
+    rows = [(k, " ".join(mutated(rng, base, 1))) for k in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {0}
+    sigs = neardup.signatures(docs).select(neardup.F.col("doc_id").alias("rep"), "text_hash", "n_shingles", "sig", "bands")
+    met = neardup.stored(neardup.bucketed(sigs), "buckets")
+    assert neardup.cells_of(met, sigs.selectExpr("rep as node", "0L as component")).count() == 0
+    assert neardup.pivot_cells(met).groupBy("cell").count().agg({"count": "max"}).first()[0] <= 2 * neardup.CHUNK
+
+
 def test_near_duplicates_of_hard_texts(spark, hard_docs, hard_rows, no_docs):
     got = neardup.near_duplicates(hard_docs).collect()
     assert len(got) == len(hard_rows)
@@ -228,7 +252,7 @@ def leak_corpus():
             at = rng.randrange(len(body) + 1)
             body[at:at] = own
         rows.append((k, " ".join(body).title()))
-    rows += [(400, "nothing here but Just, six words: of an item!"), (401, "tiny item"), (402, None), (403, "")]
+    rows += [(400, "nothing here but Just, six words: of an item!"), (401, "tiny item"), (404, "one line\n Tiny, item!\nand one more"), (405, "a tiny item in a line"), (402, None), (403, "")]
     return rows, items
 
 
@@ -240,6 +264,8 @@ def brute_leaks(rows, items):
         for i, own in known:
             n = len(own)
             if n < decontaminate.LEAST_WORDS:
+                if any(decontaminate.words_of(line) == own for line in (text or "").splitlines()):
+                    out.add((d, i))
                 continue
             if n < decontaminate.SHORT_WORDS:
                 if any(w[k : k + n] == own for k in range(len(w))):
@@ -255,6 +281,13 @@ def brute_leaks(rows, items):
     return out
 
 
+def test_passes_over_the_items_change_nothing(spark):
+    rows, items = leak_corpus()
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (sorted(map(tuple, decontaminate.leaks(docs, bench, n).collect())) for n in (1000, 10))
+    assert one == many and len(one) > 50
+
+
 @pytest.mark.parametrize("max_items", [1000, 10])
 def test_leaks(spark, max_items):
     rows, items = leak_corpus()
@@ -263,7 +296,7 @@ def test_leaks(spark, max_items):
     want = brute_leaks(rows, items)
     assert got <= want
     assert len(got) >= 0.95 * len(want)
-    planted = {(k, (k // 3) % 30) for k in range(0, 150, 3) if not k % 2} | {(400, 92)}
+    planted = {(k, (k // 3) % 30) for k in range(0, 150, 3) if not k % 2} | {(400, 92), (401, 90), (404, 90)}
     assert planted <= got
     kept = {r["doc_id"] for r in decontaminate.keep_uncontaminated(docs, bench, max_items).collect()}
     assert kept == {r[0] for r in rows} - {d for d, _ in got}
@@ -281,12 +314,12 @@ def test_leaks_of_hard_texts(spark, hard_docs, hard_rows, no_docs):
 
 def test_directions_span_the_benchmark(spark):
     rows, items = leak_corpus()
-    bench = decontaminate.load_bench(spark.createDataFrame(items, "item_id bigint, text string"))
-    encoded = decontaminate.encode(spark.createDataFrame(rows, DOCS), bench)
+    bench, vocabulary = decontaminate.load_bench(spark.createDataFrame(items, "item_id bigint, text string"))
+    encoded = decontaminate.encode(spark.createDataFrame(rows, DOCS), bench, vocabulary)
     idf = decontaminate.inverse_frequencies(encoded, bench)
     n = len(rows)
-    for k, word in enumerate(sorted(bench.vocabulary)[:20]):
+    for k, word in enumerate(sorted(vocabulary)[:20]):
         df = sum(word in decontaminate.words_of(t) for _, t in rows)
-        assert abs(idf[bench.vocabulary[word]] - np.log((n + 1) / (df + 1))) < 1e-9
+        assert abs(idf[vocabulary[word]] - np.log((n + 1) / (df + 1))) < 1e-9
     v = decontaminate.latent_directions(encoded, bench, idf)
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-6)
