@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import AMOUNT, HEADER
 from ..schemas import TRANSACTION
+from .grouped import map_groups
 
 _AMOUNT = re.compile(AMOUNT)
 _DATE = re.compile(dates.BLOCK_DATE)
@@ -140,15 +140,20 @@ def parse_lines(texts: Iterable[str]) -> list[Booking]:
 def parse_blocks(rows: DataFrame, on: str = "doc_id") -> DataFrame:
     """Transactions of each document from its ``on, pos, text`` lines; dates become ISO by native functions afterwards."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = parse_lines(pdf.sort_values("pos", kind="stable")["text"].fillna(""))
-        return pd.DataFrame(
-            [(pdf[on].iloc[0], i, b.date, b.narration, b.withdrawal, b.deposit, b.balance) for i, b in enumerate(found)],
-            columns=[on, "seq", "raw_date", "narration", "withdrawal", "deposit", "balance"],
-        )
+    def run(group: Iterator[tuple]) -> Iterator[tuple]:
+        who = None
+
+        def texts() -> Iterator[str]:
+            nonlocal who
+            for who, _, text in group:
+                yield text or ""
+
+        for i, b in enumerate(parse_lines(texts())):
+            yield (who, i, b.date, b.narration, b.withdrawal, b.deposit, b.balance)
 
     kind = dict(rows.dtypes)[on]
-    parsed = rows.groupBy(on).applyInPandas(run, f"{on} {kind}, seq bigint, raw_date string, narration string, withdrawal double, deposit double, balance double")
+    schema = [(on, kind), ("seq", "bigint"), ("raw_date", "string"), ("narration", "string"), ("withdrawal", "double"), ("deposit", "double"), ("balance", "double")]
+    parsed = map_groups(rows.select(on, "pos", "text"), [on], ["pos"], run, schema)
     iso = dates.block_date(F.col("raw_date"))
     return parsed.select(on, "seq", iso.alias("tran_date"), iso.alias("value_date"), "narration", "withdrawal", "deposit", "balance")
 

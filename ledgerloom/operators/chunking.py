@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from .grouped import map_groups
 
 # Fixed values of the adaptive strategy.
 FORCE_CHUNK_ABOVE = 60_000
@@ -56,20 +57,21 @@ def fill_chunks(sizes: dict[str, list[int]], total: int, n: int, overlap: int) -
 def split_chunks(rows: DataFrame, settings: Settings = DEFAULTS, on: str = "doc_id") -> DataFrame:
     """``on, chunk_index, source, pos, text, is_overlap`` of ``on, source, pos, text`` lines: one document's lines at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {s: pdf[pdf["source"] == s].sort_values("pos", kind="stable").reset_index(drop=True) for s in ORDER}
-        sizes = {s: own[s]["text"].fillna("").str.len().tolist() for s in ORDER}
+    def run(group: Iterator[tuple]) -> Iterator[tuple]:
+        own: dict[str, list[tuple]] = {s: [] for s in ORDER}
+        for row in group:
+            if row[1] in own:
+                own[row[1]].append(row)
+        sizes = {s: [len(row[3] or "") for row in own[s]] for s in ORDER}
         total = sum(map(sum, sizes.values()))
         n = max(1, min(settings.max_chunks, math.ceil(total / settings.chunk_chars)))
-        placed = fill_chunks(sizes, total, n, settings.overlap_lines) if total else []
-        return pd.DataFrame(
-            [(pdf[on].iloc[0], c, s, own[s]["pos"][p], own[s]["text"][p], o) for c, s, p, o in placed],
-            columns=[on, "chunk_index", "source", "pos", "text", "is_overlap"],
-        )
+        for chunk, source, p, overlap in fill_chunks(sizes, total, n, settings.overlap_lines) if total else []:
+            who, _, pos, text = own[source][p]
+            yield (who, chunk, source, pos, text, overlap)
 
     kinds = dict(rows.dtypes)
-    schema = f"{on} {kinds[on]}, chunk_index int, source string, pos {kinds['pos']}, text string, is_overlap boolean"
-    return rows.groupBy(on).applyInPandas(run, schema)
+    schema = [(on, kinds[on]), ("chunk_index", "int"), ("source", "string"), ("pos", kinds["pos"]), ("text", "string"), ("is_overlap", "boolean")]
+    return map_groups(rows.select(on, "source", "pos", "text"), [on], ["pos"], run, schema)
 
 
 def even_chunks(rows: DataFrame, budget: int, on: str = "doc_id") -> DataFrame:

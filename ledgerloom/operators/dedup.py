@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.amounts import money
 from ..functions.text import normalize_narration, strip
+from .grouped import map_groups
 
 
 def completeness() -> Column:
@@ -40,39 +41,45 @@ def drop_exact(rows: DataFrame, on: str = "doc_id") -> DataFrame:
     return k.withColumn("_nth", F.row_number().over(best)).where("_nth = 1 or _undated").drop(*_KEYS, "_nth", "_undated")
 
 
+def similar(one: str, matcher: SequenceMatcher, ratio: float) -> bool:
+    """Whether a text is alike to the matcher's second one; cheap bounds are asked first."""
+    if one == matcher.b:
+        return True
+    matcher.set_seq1(one)
+    return matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio
+
+
 def drop_fuzzy(rows: DataFrame, ratio: float = DEFAULTS.fuzzy_ratio, on: str = "doc_id") -> DataFrame:
     """The exact and the fuzzy rule together, in the order of ``seq``, as they depend on each other.
 
     A row is a duplicate of an earlier kept key with its date and amount (not 0) if their narrations are alike to ``ratio``; the first
     such key takes the fuller record but keeps its own narration. Both rules ask for the same document, date and amount, so rows
-    are grouped by those: a group is one day's bookings of one amount in one document; a booking alone in its group needs no
-    Python. ``slot`` is the place in the output.
+    are grouped by those. Rows of a group with one narration share their fate whatever their balances, so they become one before:
+    the fullest, at the place of the first. Only groups of several narrations need Python. (An amount of 0 is never alike: those
+    rows go by the exact rule alone.) ``slot`` is the place in the output.
     """
     k = _keyed(rows)
-    dated = k.where(F.coalesce("tran_date", F.lit("")) != "").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(on, "tran_date", "_amt")))
-    alone = dated.where("_n = 1").drop("_n").withColumn("slot", F.col("seq").cast("bigint"))
-    dated = dated.where("_n > 1").drop("_n")
-    fields = [f for f in k.schema.fields]
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        kept: dict[tuple, int] = {}
-        slots: dict[tuple, int] = {}
-        for i, (narration, amt, bal, score, seq) in enumerate(zip(pdf["_narr"], pdf["_amt"], pdf["_bal"], pdf["_score"], pdf["seq"], strict=True)):
-            key = (narration, None if pd.isna(bal) else bal)
-            target = key if key in kept else None
-            if target is None and amt != 0:
-                target = next((k for k in kept if SequenceMatcher(None, k[0], narration).ratio() >= ratio), None)
+    dated, day = k.where(F.coalesce("tran_date", F.lit("")) != ""), [on, "tran_date", "_amt"]
+    same = Window.partitionBy(*day, "_narr", F.when(F.col("_amt") == 0, F.col("_bal")))
+    fullest = dated.withColumn("_nth", F.row_number().over(same.orderBy(F.col("_score").desc(), F.col("seq"))))
+    fullest = fullest.withColumn("slot", F.min(F.col("seq").cast("bigint")).over(same)).where("_nth = 1").drop("_nth")
+    fullest = fullest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*day)))
+    alone, several = fullest.where("_n = 1 or _amt = 0").drop("_n"), fullest.where("_n > 1 and _amt <> 0").drop("_n")
+    columns = several.columns
+    narr, score, seq, slot = (columns.index(c) for c in ("_narr", "_score", "seq", "slot"))
+
+    def greedy(group: Iterator[tuple]) -> Iterable[tuple]:
+        kept: list[list] = []  # (narration, place, fullest row)
+        for row in group:
+            matcher = SequenceMatcher(None, "", row[narr])
+            target = next((x for x in kept if similar(x[0], matcher, ratio)), None)
             if target is None:
-                kept[key], slots[key] = i, seq
-            elif score > pdf["_score"][kept[target]]:
-                kept[target] = i
-        out = pdf.iloc[list(kept.values())].copy()
-        out["slot"] = list(slots.values())
-        return out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", slot bigint"
-    solved = dated.groupBy(on, "tran_date", "_amt").applyInPandas(greedy, schema)
+                kept.append([row[narr], row[slot], row])
+            elif (-row[score], row[seq]) < (-target[2][score], target[2][seq]):
+                target[2] = row
+        return [(*row[:slot], place, *row[slot + 1 :]) for _, place, row in kept]
+
+    solved = map_groups(several, day, ["slot"], greedy, [(f.name, f.dataType.simpleString()) for f in several.schema.fields])
     undated = k.where(F.coalesce("tran_date", F.lit("")) == "").withColumn("slot", F.col("seq").cast("bigint"))
     return solved.unionByName(alone).unionByName(undated).drop(*_KEYS)
 
@@ -104,22 +111,27 @@ def three_passes(rows: DataFrame, on: str = "doc_id") -> DataFrame:
     The fuzzy pass replays each (document, date) in order; groups are one day of one document.
     """
     first = drop_by_hash(rows, on).withColumn("_amount", F.abs(amount()).cast("double"))
-
-    def fuzzy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        text = pdf["narration"].fillna("")
-        full = (pdf["balance"].fillna(0) != 0).astype(float) + text.str.len() / 100 + (pdf["page_no"].fillna(0) != 0).astype(float)
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            same = next((k for k in kept if abs(pdf["_amount"][i] - pdf["_amount"][k]) <= 0.01 and SequenceMatcher(None, text[i].lower(), text[k].lower()).ratio() >= 0.85), None)
+    full = F.coalesce((F.col("balance") != 0).cast("double"), F.lit(0.0)) + F.length(F.coalesce("narration", F.lit(""))) / 100 + F.coalesce((F.col("page_no") != 0).cast("double"), F.lit(0.0))
+    first = first.withColumn("_full", full).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(on, "tran_date")))
+    alone, several = first.where("_n = 1").drop("_n"), first.where("_n > 1").drop("_n")
+    columns = several.columns
+    narr, amt, fullness = (columns.index(c) for c in ("narration", "_amount", "_full"))
+
+    def fuzzy(group: Iterator[tuple]) -> Iterable[tuple]:
+        kept: list[tuple] = []
+        for row in group:
+            text = (row[narr] or "").lower()
+            near = (i for i, x in enumerate(kept) if abs(row[amt] - x[amt]) <= 0.01 and similar(text, SequenceMatcher(None, "", (x[narr] or "").lower()), 0.85))
+            same = next(near, None)
             if same is None:
-                kept.append(i)
-            elif full[i] > full[same]:
-                kept.remove(same)
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    second = first.groupBy(on, "tran_date").applyInPandas(fuzzy, first.schema).drop("_amount")
+                kept.append(row)
+            elif row[fullness] > kept[same][fullness]:
+                del kept[same]
+                kept.append(row)
+        return kept
+
+    solved = map_groups(several, [on, "tran_date"], ["seq"], fuzzy, [(f.name, f.dataType.simpleString()) for f in several.schema.fields])
+    second = solved.unionByName(alone).drop("_amount", "_full")
     by_page = Window.partitionBy(on, F.coalesce("page_no", F.lit(0)), hash_key()).orderBy("seq")
     return second.withColumn("_nth", F.row_number().over(by_page)).where("_nth = 1").drop("_nth")
 
