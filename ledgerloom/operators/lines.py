@@ -176,3 +176,12 @@ def truncate_by_priority(rows: DataFrame, budget: int, on: str = "doc_id") -> Da
         out = kept if out is None else out.unionByName(kept)
         used = out.groupBy(on).agg(F.sum(F.length("text")).alias("_used"))
     return out
+
+
+def truncated_documents(rows: DataFrame, budget: int, on: str = "doc_id") -> DataFrame:
+    """``on, n_kept, truncated``: whether ``truncate_by_priority`` left out a line of a document (blank ones of text sources aside)."""
+    counted = (F.col("source") == "table") | (T.strip(F.col("text")) != "")
+    had = rows.groupBy(on, "source").agg(F.sum(counted.cast("bigint")).alias("had"))
+    kept = truncate_by_priority(rows, budget, on).groupBy(on, "source").agg(F.count(F.lit(1)).alias("kept"))
+    both = had.join(kept, [on, "source"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return both.groupBy(on).agg(F.sum("kept").alias("n_kept"), F.max(F.col("kept") < F.col("had")).alias("truncated"))

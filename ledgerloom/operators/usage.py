@@ -71,22 +71,34 @@ def earliest_in_window(events: DataFrame, seconds: int = 60, on: str = "api_key_
 def keys_with_capacity(usage: DataFrame, estimate: int) -> DataFrame:
     """Keys of ``api_key_id, used, tpm_limit`` that have room for the estimate (a limit of 0 is none); if no key has, all."""
     fits = (F.col("tpm_limit") == 0) | (F.col("used") + estimate <= F.col("tpm_limit"))
-    none = ~F.max(fits).over(Window.partitionBy(F.lit(0)))
-    return usage.withColumn("_fits", fits).withColumn("_none", none).where("_fits or _none").drop("_fits", "_none")
+    some = usage.agg(F.coalesce(F.max(fits), F.lit(False))).scalar()
+    return usage.where(fits | ~some)
 
 
 def too_large(estimate: Column, limit: Column) -> Column:
     return (limit > 0) & (estimate > limit)
 
 
-def earliest_start(requests: DataFrame, limit: int, buffer: float = 0.05, on: str = "api_key_id") -> DataFrame:
-    """When a request could start at the earliest, had all others run when they came: at once if its window has room under the
-    buffered limit, else 60 s after the earliest use in its window; never (null) if it alone exceeds the limit."""
-    allowed = limit * (1 - buffer)
-    w = Window.partitionBy(on).orderBy(micros("ts")).rangeBetween(-59_999_999, -1)
-    used, first = F.coalesce(F.sum("tokens").over(w), F.lit(0)), F.min("ts").over(w)
-    start = F.when(F.col("tokens") > allowed, F.lit(None).cast("timestamp")).when(used + F.col("tokens") <= allowed, F.col("ts")).otherwise(first + F.expr("INTERVAL 60 SECONDS"))
-    return requests.withColumn("earliest_start", start)
+def earliest_start(requests: DataFrame, limit: int, buffer: float = 0.05, seconds: int = 60, on: str = "api_key_id") -> DataFrame:
+    """When a request could start at the earliest, had all others run when they came: at once if the tokens of its last ``seconds`` leave
+    room, else ``buffer`` seconds after that use has left the window which makes room; never (null) if it alone exceeds the limit.
+    A limit of 0 is none, and a request for nothing starts at once.
+
+    The use that makes room is the first by which the key's running total reaches what the request is too much: requests and uses of a
+    key are put in order of those totals, and a request takes the next use.
+    """
+    by_time = Window.partitionBy(on).orderBy(micros("ts"))
+    upto, before = by_time.rangeBetween(Window.unboundedPreceding, 0), by_time.rangeBetween(Window.unboundedPreceding, -1)
+    recent = F.coalesce(F.sum("tokens").over(by_time.rangeBetween(-(seconds * 1_000_000 - 1), -1)), F.lit(0))
+    r = requests.withColumns({"_recent": recent, "_upto": F.sum("tokens").over(upto), "_over": F.coalesce(F.sum("tokens").over(before), F.lit(0)) + F.col("tokens") - limit})
+    uses = r.select(on, F.col("_upto").alias("_total"), F.lit(1).alias("_kind"), F.col("ts").alias("_use"), *[F.lit(None).cast(r.schema[c].dataType).alias(c) for c in r.columns if c != on])
+    asks = r.select(on, F.col("_over").alias("_total"), F.lit(0).alias("_kind"), F.lit(None).cast(r.schema["ts"].dataType).alias("_use"), *[c for c in r.columns if c != on])
+    following = Window.partitionBy(on).orderBy("_total", "_kind", "_use").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = uses.unionByName(asks).withColumn("_frees", F.first("_use", ignorenulls=True).over(following)).where("_kind = 0")
+    at_once = (F.lit(limit) == 0) | (F.col("tokens") <= 0) | (F.col("_recent") + F.col("tokens") <= limit)
+    later = F.timestamp_micros(micros("_frees") + seconds * 1_000_000 + round(buffer * 1_000_000)).cast(requests.schema["ts"].dataType)
+    start = F.when(at_once, F.col("ts")).when(F.col("tokens") <= limit, later)
+    return met.select(*requests.columns, start.alias("earliest_start"))
 
 
 def key_pool_snapshot(usage: DataFrame, now: Column, estimate: int, minute_limit: int = 30_000, day_limit: int = 500_000) -> DataFrame:

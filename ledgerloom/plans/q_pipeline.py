@@ -46,18 +46,23 @@ def q_route_by_size(t: Tables) -> DataFrame:
     return both.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).cast("bigint").alias("n_chars"))
 
 
-ANSWERS_SQL = f"""{X.LEDGER_SQL}, answered AS (SELECT * FROM ledger WHERE CAST(doc_id AS BIGINT) % 2 = 0)"""
+ANSWERS_SQL = f"""{X.LEDGER_SQL}, answered AS (SELECT * FROM ledger)"""
 
 
 def _answers(orders: DataFrame) -> DataFrame:
-    """Answers as a model would give them for every second document: text around JSON, other keys."""
-    rows = X.ledger(orders).where(F.col("doc_id").cast("bigint") % 2 == 0)
+    """Answers as a model would give them for every document: text around JSON, other keys."""
+    rows = X.ledger(orders)
     rec = F.to_json(F.struct(F.col("tran_date").alias("date"), F.concat_ws(" ", F.col("narration"), F.col("seq").cast("string")).alias("particulars"), F.col("withdrawal").alias("debit"), F.col("deposit").alias("credit"), F.col("balance").alias("bal")))
     listed = rows.select("doc_id", F.struct("tran_date", "seq", rec.alias("rec")).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("l"))
     body = F.concat(F.lit('Here: {"items": ['), F.array_join(F.transform("l", lambda s: s["rec"]), ", "), F.lit("]} done"))
     return listed.select("doc_id", body.alias("raw"))
 
 
+def _partial_answers(orders: DataFrame) -> DataFrame:
+    """The same, but empty lists for documents of odd number: the model found nothing there."""
+    return _answers(orders).withColumn("raw", F.when(F.col("doc_id").cast("bigint") % 2 == 0, F.col("raw")).otherwise(F.lit('Sorry. {"items": []}')))
+
+
 @query(f"""WITH {ANSWERS_SQL} SELECT doc_id, count(*) AS n, count(balance) AS with_balance, CAST(sum(coalesce(deposit, 0)) AS DECIMAL(18,2)) AS deposits,
   CAST(sum(coalesce(withdrawal, 0)) AS DECIMAL(18,2)) AS withdrawals, min(tran_date) AS first_date FROM answered GROUP BY doc_id""")
 def q_model_answers(t: Tables) -> DataFrame:
@@ -70,8 +75,8 @@ def q_model_answers(t: Tables) -> DataFrame:
 @query(f"WITH {ANSWERS_SQL} SELECT doc_id, count(*) AS n, CAST(doc_id AS BIGINT) % 2 = 0 AS from_model FROM ledger GROUP BY doc_id")
 def q_fallback_chain(t: Tables) -> DataFrame:
     """The model's transactions, and the block parser's for documents that it has no answer for."""
-    done = statements.transactions(X.statement_lines(t.orders), X.cells(t.lineitem).where(F.lit(False)), _answers(t.orders))
-    return done.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("narration").rlike(r" \d+$") & (F.col("doc_id").cast("bigint") % 2 == 0)).alias("from_model"))
+    done = statements.transactions(X.statement_lines(t.orders), X.cells(t.lineitem).where(F.lit(False)), _partial_answers(t.orders))
+    return done.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("narration").rlike(r" \d+$")).alias("from_model"))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'HDFC' AS bank_name, '2020-05-01' AS period_start, '2020-05-31' AS period_end, CAST(100 + c_custkey AS DOUBLE) AS opening_balance, CAST(7.25 AS DOUBLE) AS closing_balance FROM customer""")
@@ -85,11 +90,11 @@ def q_statement_metadata(t: Tables) -> DataFrame:
     return statements.statement_metadata(layout, table).select("doc_id", "bank_name", "period_start", "period_end", "opening_balance", "closing_balance")
 
 
-@query(f"WITH {X.LEDGER_SQL} SELECT doc_id, CAST(max(abs(coalesce(deposit, withdrawal))) AS DECIMAL(18,2)) AS top, mode(CASE WHEN deposit IS NULL THEN 'w' ELSE 'd' END ORDER BY 1) IS NOT NULL AS has_mode FROM ledger GROUP BY doc_id")
+@query(f"""WITH {X.LEDGER_SQL}, s AS (SELECT doc_id, CASE WHEN deposit IS NULL THEN 'w' ELSE 'd' END AS side, abs(coalesce(deposit, withdrawal)) AS amount FROM ledger),
+n AS (SELECT doc_id, side, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT doc_id, side, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, side) AS nth FROM n)
+SELECT doc_id, CAST(max(amount) AS DECIMAL(18,2)) AS top, any_value(m.side) AS commonest_side FROM s JOIN m USING (doc_id) WHERE nth = 1 GROUP BY doc_id""")
 def q_top_booking(t: Tables) -> DataFrame:
-    """The largest booking by document and whether a commonest side exists."""
+    """The largest booking by document and its commonest side, of two equally common ones the first by name."""
     b = X.ledger(t.orders)
     amount = F.coalesce("deposit", "withdrawal")
-    return b.groupBy("doc_id").agg(F.max(F.abs(amount)).alias("top"), F.mode(F.when(F.col("deposit").isNull(), "w").otherwise("d")).isNotNull().alias("has_mode"))
-
-
+    return b.groupBy("doc_id").agg(F.max(F.abs(amount)).alias("top"), F.mode(F.when(F.col("deposit").isNull(), "w").otherwise("d"), True).alias("commonest_side"))

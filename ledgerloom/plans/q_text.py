@@ -273,17 +273,49 @@ def q_payloads(t: Tables) -> DataFrame:
     return lines.payloads(rows, half, half.withColumn("text", F.concat("text", F.lit("."))))
 
 
-@query()
+TRUNCATE_SQL = rf"""{LINES_SQL}, s AS (SELECT *, CASE pos % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'ocr' ELSE 'layout' END AS source, regexp_matches(text, '\d') AS digit FROM lines),
+c AS (SELECT * FROM (SELECT *, max(CAST(digit AS INT)) OVER (PARTITION BY doc_id, source) AS any_digit FROM s) WHERE source = 'table' OR digit OR any_digit = 0),
+u AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY doc_id, source ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM c),
+t AS (SELECT doc_id, source, pos, text, upto FROM u WHERE source = 'table' AND upto <= 1000),
+l AS (SELECT u.doc_id, source, pos, text, upto FROM u LEFT JOIN (SELECT doc_id, max(upto) AS used FROM t GROUP BY doc_id) USING (doc_id) WHERE source = 'layout' AND upto <= 1000 - coalesce(used, 0)),
+o AS (SELECT u.doc_id, source, pos, text, upto FROM u LEFT JOIN (SELECT doc_id, sum(length(text)) AS used FROM (FROM t UNION ALL FROM l) GROUP BY doc_id) USING (doc_id)
+  WHERE source = 'ocr' AND upto <= 1000 - coalesce(used, 0)),
+kept AS (FROM t UNION ALL FROM l UNION ALL FROM o)"""
+
+
+def _three_sources(t: Tables) -> DataFrame:
+    return _lines(t).withColumn("source", F.when(F.col("pos") % 3 == 0, F.lit("table")).when(F.col("pos") % 3 == 1, F.lit("ocr")).otherwise("layout"))
+
+
+@query(f"WITH {TRUNCATE_SQL} SELECT doc_id, pos, text, source FROM kept")
 def q_truncate(t: Tables) -> DataFrame:
-    rows = _lines(t).withColumn("source", F.when(F.col("pos") % 3 == 0, F.lit("table")).when(F.col("pos") % 3 == 1, F.lit("ocr")).otherwise("layout"))
-    return lines.truncate_by_priority(rows, 1000)
+    return lines.truncate_by_priority(_three_sources(t), 1000)
+
+
+@query(f"""WITH {TRUNCATE_SQL}, k AS (SELECT doc_id, source, count(*) AS n FROM kept GROUP BY ALL), h AS (SELECT doc_id, source, count(*) AS had FROM s GROUP BY ALL)
+SELECT doc_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_kept, max(CAST(coalesce(n, 0) < had AS INT)) = 1 AS truncated FROM h LEFT JOIN k USING (doc_id, source) GROUP BY doc_id""")
+def q_truncated(t: Tables) -> DataFrame:
+    return lines.truncated_documents(_three_sources(t), 1000)
+
+
+@query(rf"""WITH {LINES_SQL}, p AS (SELECT *, pos // 25 AS page_no FROM lines), top AS (SELECT DISTINCT doc_id, page_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS nth FROM p) WHERE nth <= 20),
+r AS (SELECT doc_id, text FROM top JOIN (SELECT doc_id, count(DISTINCT page_no) AS pages FROM p GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, text, pages HAVING count(*) / pages >= {lines.REPEATED_SHARE} AND length(text) > 3)
+SELECT doc_id, pos, text FROM p ANTI JOIN r USING (doc_id, text) WHERE NOT regexp_matches(text, '(?i)^page\s+\d+\s+of\s+\d+')""")
+def q_without_repeated(t: Tables) -> DataFrame:
+    """The lines that stay when those repeated on most pages go; 25 lines are a page."""
+    return lines.without_repeated(_lines(t).withColumn("page_no", F.floor(F.col("pos") / 25).cast("int"))).select("doc_id", "pos", "text")
 
 
-@query(r"""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_no FROM documents)
-SELECT doc_id, 0 AS page_no, CAST(block_no AS INT) AS block_no, 0 AS line_no, regexp_replace(regexp_replace(replace(text || ' ' || '  x ', chr(9), ' '), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM b""")
+@query(r"""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_no FROM documents),
+l AS (SELECT doc_id, block_no, 0 AS line_no, text || ' ' || CASE WHEN doc_id % 2 = 0 THEN '  x ' ELSE '' END AS raw FROM b WHERE block_no % 5 <> 4 UNION ALL SELECT doc_id, block_no, 1, ' ' || chr(9) FROM b WHERE block_no % 5 <> 4)
+SELECT doc_id, 0 AS page_no, CAST(block_no AS INT) AS block_no, line_no, clean AS text FROM (SELECT *, regexp_replace(regexp_replace(replace(raw, chr(9), ' '), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM l) WHERE clean <> ''""")
 def q_flatten_layout(t: Tables) -> DataFrame:
+    """A line of a text as a block: each fifth block has no lines; a second span is missing in odd documents; a second line is blank."""
     span = lambda s: F.struct(s.alias("text"))
-    blocks = F.transform(F.split("text", "\n"), lambda s: F.struct(F.array(F.struct(F.array(span(s), span(F.lit("  x "))).alias("spans"))).alias("lines")))
+    line = lambda *spans: F.struct(F.array(*spans).alias("spans"))
+    second = F.when(F.col("doc_id") % 2 == 0, F.lit("  x "))
+    blank = F.lit(None).cast("array<struct<spans:array<struct<text:string>>>>")
+    blocks = F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.when(i % 5 == 4, blank).otherwise(F.array(line(span(s), span(second)), line(span(F.lit("")), span(F.lit("\t"))))).alias("lines")))
     return lines.flatten_layout(t.documents.select("doc_id", F.array(blocks).alias("pages")))
 
 
@@ -297,9 +329,9 @@ def q_upload_checks(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tables.upload_error(name, size, k % 8 == 0, (k % 80).cast("int")).alias("error_code"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS doc_id, o_orderkey AS seq FROM orders WHERE o_orderkey % 4 = 0), b AS (SELECT o_custkey AS doc_id, o_orderkey AS seq FROM orders WHERE o_orderkey % 4 = 1)
+@query("""WITH a AS (SELECT o_custkey AS doc_id, o_orderkey AS seq FROM orders WHERE o_orderkey % 8 < 2), b AS (SELECT o_custkey AS doc_id, o_orderkey AS seq FROM orders WHERE o_orderkey % 8 >= 2)
 SELECT doc_id, seq FROM a UNION ALL SELECT doc_id, seq FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)""")
 def q_ocr_retry(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"))
-    first, retry = rows.where("seq % 4 = 0"), rows.where("seq % 4 = 1")
+    first, retry = rows.where("seq % 8 < 2"), rows.where("seq % 8 >= 2")
     return tables.keep_retry(first, retry.join(tables.retry_documents(retry.select("doc_id").distinct(), first), "doc_id", "left_semi"))

@@ -59,17 +59,25 @@ def q_keys_with_capacity(t: Tables) -> DataFrame:
     return usage.keys_with_capacity(k, 500).withColumn("too_large", usage.too_large(F.lit(500), F.col("tpm_limit")))
 
 
-@query()
+@query(f"""WITH {X.USAGE_SQL}, u AS (SELECT api_key_id, ts, sum(tokens) AS tokens FROM usage GROUP BY ALL),
+w AS (SELECT i.event_id, e.ts AS used_at, i.tokens, sum(e.tokens) OVER (PARTITION BY i.event_id ORDER BY e.ts DESC) AS since, e.tokens AS own
+  FROM usage i JOIN u e ON e.api_key_id = i.api_key_id AND e.ts < i.ts AND epoch_us(e.ts) > epoch_us(i.ts) - 3600000000),
+f AS (SELECT event_id, max(since) AS recent, min(used_at) FILTER (WHERE since - own + tokens <= 100) AS frees FROM w GROUP BY event_id)
+SELECT event_id, CASE WHEN tokens <= 0 OR coalesce(recent, 0) + tokens <= 100 THEN ts WHEN tokens <= 100 THEN frees + INTERVAL 3600050 MILLISECONDS END AS earliest_start FROM usage LEFT JOIN f USING (event_id)""")
 def q_earliest_start(t: Tables) -> DataFrame:
-    return usage.earliest_start(X.usage(t.events), 100).select("event_id", "earliest_start")
+    """With an hour as the window: the events are too far apart for a minute to fill."""
+    return usage.earliest_start(X.usage(t.events), 100, seconds=3600).select("event_id", "earliest_start")
 
 
-@query(f"""WITH {X.USAGE_SQL}, e AS (SELECT *, event_id % 11 = 0 AS is_error, epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts) AS age FROM usage WHERE ts <= TIMESTAMP '{NOW}')
-SELECT api_key_id, CAST(coalesce(sum(tokens) FILTER (WHERE NOT is_error AND age < 60000000), 0) AS BIGINT) AS minute_used, CAST(coalesce(sum(tokens) FILTER (WHERE NOT is_error AND age < 86400000000), 0) AS BIGINT) AS day_used,
-  count(*) FILTER (WHERE is_error AND ts > coalesce(ok, TIMESTAMP '1900-01-01')) AS errors FROM e LEFT JOIN (SELECT api_key_id, max(ts) AS ok FROM e WHERE NOT is_error GROUP BY api_key_id) USING (api_key_id) GROUP BY api_key_id""")
+@query(f"""WITH {X.USAGE_SQL}, e AS (SELECT *, event_id % 11 = 0 AS is_error, epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts) AS age FROM usage WHERE ts <= TIMESTAMP '{NOW}'),
+p AS (SELECT api_key_id, CAST(coalesce(sum(tokens) FILTER (WHERE NOT is_error AND age < 60000000), 0) AS BIGINT) AS minute_used, CAST(coalesce(sum(tokens) FILTER (WHERE NOT is_error AND age < 86400000000), 0) AS BIGINT) AS day_used,
+  count(*) FILTER (WHERE is_error AND ts > coalesce(ok, TIMESTAMP '1900-01-01')) AS errors, max(age) FILTER (WHERE NOT is_error AND age < 60000000) AS oldest
+  FROM e LEFT JOIN (SELECT api_key_id, max(ts) AS ok FROM e WHERE NOT is_error GROUP BY api_key_id) USING (api_key_id) GROUP BY api_key_id)
+SELECT api_key_id, minute_used, day_used, errors, errors < 3 AS available, errors < 3 AND minute_used + 30 <= 60 AND day_used + 30 <= 1200 AS can_take,
+  CASE WHEN minute_used + 30 <= 60 THEN 0.1 ELSE round(least(15.0, greatest(0.1, 60.5 - CAST(oldest AS DOUBLE) / 1000000)), 6) END AS wait_seconds FROM p""")
 def q_key_pool(t: Tables) -> DataFrame:
     u = X.usage(t.events).where(F.col("ts") <= now()).withColumn("is_error", F.col("event_id") % 11 == 0)
-    return usage.key_pool_snapshot(u, now(), 500).select("api_key_id", "minute_used", "day_used", "errors")
+    return usage.key_pool_snapshot(u, now(), 30, minute_limit=60, day_limit=1200).withColumn("wait_seconds", F.round("wait_seconds", 6))
 
 
 @query(f"""WITH {X.METRICS_SQL} SELECT page_count, round(avg(total_duration_ms), 6) AS avg_duration, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY total_duration_ms), 6) AS p95_duration FROM metrics GROUP BY page_count""")
@@ -109,11 +117,19 @@ def q_alerts(t: Tables) -> DataFrame:
     return quality.alerts(X.metrics(t.events))
 
 
+def _shared_dir(spark) -> str:
+    """The folder that driver and executors share; a local one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or tempfile.mkdtemp(prefix="ledgerloom-")
+
+
 @query(f"WITH {X.USAGE_SQL} SELECT date_trunc('hour', ts) AS hour, CAST(sum(tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1")
 def q_stream_hourly(t: Tables) -> DataFrame:
     kept = t.events.schema
     stream = t.spark.readStream.schema(kept).parquet(f"{t.sf_dir}/events.parquet*")
-    checkpoint = (t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()) + "/stream-hourly"
+    checkpoint = _shared_dir(t.spark) + "/stream-hourly"
     import uuid
 
     name = f"hourly_{uuid.uuid4().hex}"
@@ -121,8 +137,13 @@ def q_stream_hourly(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS client, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT client, ts, event_id, n, [epoch_us(ts)] AS times, true AS admitted FROM e WHERE n = 1
+  UNION ALL SELECT e.client, e.ts, e.event_id, e.n, CASE WHEN len(f.open) < 4 THEN list_append(f.open, epoch_us(e.ts)) ELSE f.open END, len(f.open) < 4
+  FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1, LATERAL (SELECT list_filter(r.times, lambda x: x > epoch_us(e.ts) - 86400000000) AS open) f)
+SELECT client, ts, event_id, admitted FROM r""")
 def q_rate_limit(t: Tables) -> DataFrame:
-    limit, seconds = rates.parse_limit("4/hour")
+    """With a day as the period, so that there are requests which are rejected."""
+    limit, _ = rates.parse_limit("4/hour")
     requests = t.events.select(F.col("user_id").alias("client"), "ts", "event_id")
-    return rates.admitted(requests, limit, seconds, order=("ts", "event_id"))
+    return rates.admitted(requests, limit, 86_400, order=("ts", "event_id"))
