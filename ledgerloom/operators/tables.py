@@ -33,9 +33,15 @@ def table_usability(rows: DataFrame, on: str = "doc_id") -> DataFrame:
     return stats.withColumn("usable", (F.col("n_numeric") > 0) & enough & (F.col("n_rows") >= 3))
 
 
-def needs_ocr(has_layout: Column, has_table: Column, usable: Column) -> Column:
-    """Without any text, or with a table that is not usable."""
-    return (~has_layout & ~has_table) | (has_table & ~usable)
+def needs_ocr(has_layout: Column, has_table: Column, usable: Column, forced: Column | None = None) -> Column:
+    """Without any text, or with a table that is not usable, or where it is ``forced``."""
+    needed = (~has_layout & ~has_table) | (has_table & ~usable)
+    return needed if forced is None else needed | F.coalesce(forced, F.lit(False))
+
+
+def forced_ocr(flag: Column) -> Column:
+    """Whether a request's flag asks for text recognition in any case: 1, true or yes."""
+    return F.coalesce(F.lower(flag.cast("string")).isin("1", "true", "yes"), F.lit(False))
 
 
 def needs_ocr_streamed(is_docx: Column, usable: Column) -> Column:

@@ -79,10 +79,15 @@ def q_table_usable(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS has_layout, o_orderkey % 3 = 0 AS has_table, o_orderkey % 5 = 0 AS usable, o_orderkey % 7 = 0 AS is_docx FROM orders)
-SELECT id, (NOT has_layout AND NOT has_table) OR (has_table AND NOT usable) AS ocr, NOT (is_docx OR usable) AS ocr_streamed FROM f""")
+SELECT id, (NOT has_layout AND NOT has_table) OR (has_table AND NOT usable) AS ocr, NOT (is_docx OR usable) AS ocr_streamed,
+  (NOT has_layout AND NOT has_table) OR (has_table AND NOT usable) OR id % 11 < 3 AS ocr_or_forced FROM f""")
 def q_ocr_gate(t: Tables) -> DataFrame:
     f = lambda n: F.col("o_orderkey") % n == 0
-    return t.orders.select(F.col("o_orderkey").alias("id"), tables.needs_ocr(f(2), f(3), f(5)).alias("ocr"), tables.needs_ocr_streamed(f(7), f(5)).alias("ocr_streamed"))
+    flag = F.get(F.array(*map(F.lit, ("1", "True", "YES", "0", "no", "", "2"))), (F.col("o_orderkey") % 11).cast("int"))  # null from the seventh on
+    return t.orders.select(
+        F.col("o_orderkey").alias("id"), tables.needs_ocr(f(2), f(3), f(5)).alias("ocr"), tables.needs_ocr_streamed(f(7), f(5)).alias("ocr_streamed"),
+        tables.needs_ocr(f(2), f(3), f(5), tables.forced_ocr(flag)).alias("ocr_or_forced"),
+    )
 
 
 @query(f"""WITH {X.CELLS_SQL}

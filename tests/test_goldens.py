@@ -234,3 +234,59 @@ def test_empty_tables(spark):
     assert ledger.balance_reports(empty, F.lit(0)).count() == 0
     assert dedup.drop_fuzzy(empty).count() == 0
     assert ledger.normalize(empty).count() == 0
+
+
+def plain_fuzzy(rows, ratio):
+    """The rule row by row: rows of (seq, date, narration, amount, balance, score); (slot, seq) of what stays."""
+    from difflib import SequenceMatcher
+
+    kept = []  # [date, narration, amount, balance, slot, row]
+    for row in rows:
+        seq, date, narration, amount, balance, score = row
+        target = next((k for k in kept if k[:4] == [date, narration, amount, balance]), None)
+        if target is None and amount != 0:
+            target = next((k for k in kept if k[0] == date and k[2] == amount and SequenceMatcher(None, k[1], narration).ratio() >= ratio), None)
+        if target is None:
+            kept.append([date, narration, amount, balance, seq, row])
+        elif score > target[5][5]:
+            target[5] = row
+    return sorted((k[4], k[5][0]) for k in kept)
+
+
+def test_fuzzy_duplicates_equal_the_rule_row_by_row(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["salary may acme limited", "salary may acme limite", "salary june acme limited", "salary mai acme limted", "atm cash 12", "atm cash 13", "x"]
+    rows = []
+    for seq in range(400):
+        amount, balance = rng.choice([0.0, 5.0, 5.0, 7.5]), rng.choice([None, 10.0, 11.0, 12.0])
+        rows.append((f"d{seq % 3}", seq, rng.choice(["2020-01-01", "2020-01-02"]), rng.choice(texts), amount if rng.random() < 0.5 else None, amount, balance))
+    df = spark.createDataFrame(rows, "doc_id string, seq bigint, tran_date string, narration string, withdrawal double, deposit double, balance double").repartition(5)
+    got = {}
+    for r in dedup.drop_fuzzy(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["slot"], r["seq"]))
+    for doc in ("d0", "d1", "d2"):
+        own = [(s, d, n, dep or w or 0.0, b, 3 * (b is not None) + 2 * (w is not None) + 2 + (len(n) > 10)) for i, s, d, n, w, dep, b in rows if i == doc]
+        assert sorted(got[doc]) == plain_fuzzy(own, 0.9)
+
+
+def test_earliest_starts(spark):
+    import datetime as dt
+
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("k", at(0), 40), ("k", at(10), 40), ("k", at(20), 40), ("k", at(30), 90), ("k", at(200), 101), ("k", at(300), 100), ("j", at(5), 0)]
+    df = spark.createDataFrame(rows, "api_key_id string, ts timestamp, tokens bigint")
+    got = {(r["api_key_id"], r["ts"]): r["earliest_start"] for r in usage.earliest_start(df, 100).collect()}
+    late = dt.timedelta(milliseconds=50)
+    assert got["k", at(0)] == at(0) and got["k", at(10)] == at(10) and got["k", at(20)] == at(60) + late
+    assert got["k", at(30)] == at(80) + late and got["k", at(200)] is None and got["k", at(300)] == at(300) and got["j", at(5)] == at(5)
+    assert all(r["earliest_start"] == r["ts"] for r in usage.earliest_start(df, 0).collect())
+
+
+def test_amounts_in_text_become_numbers(spark):
+
+    df = spark.createDataFrame([("d", 0, "01-05-2020", None, "1,234.50", "", "(x) 7")], "doc_id string, seq bigint, tran_date string, value_date string, withdrawal string, deposit string, balance string")
+    r = ledger.normalize(df).first()
+    assert (r["tran_date"], r["value_date"], r["withdrawal"]) == ("2020-05-01", "2020-05-01", 1234.5)

@@ -89,6 +89,68 @@ def test_usage_sink(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
 
 
+def pdf_files(spark, tmp_path):
+    """Files called .pdf whose content says: pages, a letter for encrypted, and so on."""
+    for name, content in {"ok.pdf": b"2 pages", "many.pdf": b"99 pages", "locked.pdf": b"3 locked", "broken.pdf": b"?", "tiny.pdf": b"1"}.items():
+        (tmp_path / name).write_bytes(content + b" " * (2000 if name != "tiny.pdf" else 0))
+    (tmp_path / "w.docx").write_bytes(docx(["x" * 5000]) + b" " * 2000)
+    return files.uploads(spark, str(tmp_path))
+
+
+def test_pages_are_counted_and_checked(spark, tmp_path):
+    count = lambda b: (int(b.split()[0]), b"locked" in b)
+    up = pdf_files(spark, tmp_path)
+    name = lambda r: r["path"].rsplit("/", 1)[1]
+    assert {name(r): (r["pages"], r["encrypted"]) for r in files.page_counts(up, count).collect()} == {
+        "ok.pdf": (2, False), "many.pdf": (99, False), "locked.pdf": (3, True), "broken.pdf": (None, None), "tiny.pdf": (1, False), "w.docx": (None, None),
+    }
+    good, bad = files.checked_uploads(up, count)
+    assert {name(r) for r in good.collect()} == {"ok.pdf", "broken.pdf", "w.docx"}
+    assert {name(r): r["error_code"] for r in bad.collect()} == {"many.pdf": 413, "locked.pdf": 400, "tiny.pdf": 400}
+
+
+def test_injected_tables_and_page_limit(spark, tmp_path):
+    up = pdf_files(spark, tmp_path).where(F.col("path").rlike("(ok|broken).pdf$"))
+    table = lambda b: [[["Date", None], None, [b.split()[0].decode(), 7]], None, [["z"]]] if b[:1] != b"?" else 1 / 0
+    assert [r["cells"] for r in files.extracted_tables(up, table).orderBy("row_no").collect()] == [["Date", None], ["2", "7"], ["z"]]
+
+    def pages(content):
+        for n in range(10):
+            if n > 2:
+                raise AssertionError("asked beyond the limit")
+            yield n, f"line {n}"
+
+    found = files.extracted(up.where(F.col("path").rlike("ok.pdf$")), pages, "ocr", max_pages=2).orderBy("page_no").collect()
+    assert [(r["page_no"], r["text"]) for r in found] == [(0, "line 0"), (1, "line 1")]
+
+
+def test_images_become_black_and_white():
+    import numpy as np
+
+    page = np.full((60, 80, 3), 200, np.uint8)
+    page[:, 40:] = 120  # a shadow
+    page[20:24, 10:20] = 90
+    page[20:24, 60:70] = 40
+    clean = files.cleaned_image(page)
+    assert set(np.unique(clean)) == {0, 255} and clean.shape == (60, 80)
+    assert (clean[21:23, 12:18] == 0).all() and (clean[21:23, 62:68] == 0).all() and (clean[50:, 5:20] == 255).all()
+
+
+def test_missing_ledgers_are_empty(spark, tmp_path):
+    assert files.token_ledger(spark, str(tmp_path / "none.json")).count() == 0
+    assert files.prompt_notes(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "empty.json").write_text("")
+    assert files.token_ledger(spark, str(tmp_path / "empty.json")).count() == 0
+
+
+def test_optional_readers_say_what_is_missing():
+    import pytest
+
+    for reader in (files.pdf_counter, files.pdf_table_extractor, files.text_recogniser, files.pdf_extractor):
+        with pytest.raises(RuntimeError, match="needs the optional package"):
+            reader()
+
+
 def test_bytes(spark):
     df = spark.createDataFrame([(b"caf\xc3\xa9",), (b"\xfe\xff",)], "x binary")
     assert [r[0] for r in df.select(bytes_as_json_text(F.col("x"))).collect()] == ["café", '{"__bytes_base64":"/v8="}']
