@@ -38,6 +38,8 @@ BANDS = HASHES // ROWS
 BITS = 4
 #: Most classes of one chunk of a bucket; a cell has two chunks at most.
 CHUNK = 384
+#: Most classes, about, that a copy of a pivot is sent to.
+PIVOT_CHUNK = 64
 #: A candidate's estimate may be this much below the threshold: 4.9 standard deviations of the estimate at 0.8, 5.5 at 0.85.
 MARGIN = 0.16
 #: Tasks that the rows of one digest or band value are dealt to.
@@ -160,9 +162,9 @@ IS_PIVOT = "rep = pivot and text_hash = pivot_hash"
 
 
 def pivot_cells(met: DataFrame) -> DataFrame:
-    """``cell, side, rep, text_hash``: each pivot (side 0) with at most about CHUNK of the classes that share a bucket with it."""
+    """``cell, side, rep, text_hash``: each pivot (side 0) with at most about PIVOT_CHUNK of the classes that share a bucket with it."""
     pairs = met.where(f"not ({IS_PIVOT})").groupBy("rep", "text_hash", "pivot", "pivot_hash").agg(F.max("n").alias("n"))
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("n") / PIVOT_CHUNK).cast("int")
     cell = F.concat_ws("/", *[c.cast("string") for c in (F.col("pivot"), F.col("pivot_hash"), chunks, F.pmod(F.xxhash64("rep", "text_hash"), chunks))])
     pairs = pairs.select(cell.alias("cell"), "rep", "text_hash", "pivot", "pivot_hash")
     own = pairs.select("cell", F.lit(0).alias("side"), F.col("pivot").alias("rep"), F.col("pivot_hash").alias("text_hash")).distinct()
