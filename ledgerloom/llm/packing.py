@@ -33,8 +33,8 @@ SHARD_PIECES = 2048
 ROUTES = 8
 #: A piece's routes are the smallest hashes among this many of its weightiest ids.
 ROUTE_TERMS = 16
-#: Ids in more than one in this many pieces of a term shard are compared as a dense matrix.
-COMMON = 64
+#: Ids in more than one in this many pieces of a shard are compared as a dense matrix: there a column costs less than its pairs.
+COMMON = 32
 #: Pairs of postings expanded at once.
 MAX_PAIRS = 1 << 21
 K1 = 1.2
@@ -69,11 +69,15 @@ def _long_space() -> re.Pattern:
     return re.compile(r"\s{%d}" % LONG_SPACE)
 
 
-def encode_text(encoder, text: str) -> list[int]:
+def text_ids(encoder, text: str) -> np.ndarray:
     """The named tokenizer's ids, of whatever length the text or its white space is."""
     if len(text) >= LONG_SPACE and _long_space().search(text):
-        return named_tokenizer().encode(text, add_special_tokens=False).ids
-    return encoder.encode(text, allowed_special="all")
+        return np.array(named_tokenizer().encode(text, add_special_tokens=False).ids, np.uint32)
+    return encoder.encode_to_numpy(text, allowed_special="all")
+
+
+def encode_text(encoder, text: str) -> list[int]:
+    return text_ids(encoder, text).tolist()
 
 
 PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -95,7 +99,7 @@ def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int =
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode_text(encoder, text or ""), END], np.uint16)
+                ids = np.append(text_ids(encoder, text or ""), END).astype(np.uint16)
                 n = len(ids)
                 for start in range(0, n, window):
                     part = ids[start : start + window]
@@ -107,16 +111,22 @@ def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int =
     return map_batches(docs.select(docs["doc_id"].cast("long"), docs["text"]), run, PIECES)
 
 
+def id_counts(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, id, how often) of the distinct ids of each of up to 65536 pieces, in this order."""
+    owner = np.repeat(np.arange(len(pieces), dtype=np.uint32), [len(p) for p in pieces])
+    keys, tf = np.unique(owner << np.uint32(16) | np.concatenate([np.zeros(0, np.uint16), *pieces]), return_counts=True)
+    return (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.uint16), tf
+
+
 def document_frequencies(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
     """(pieces with each id, pieces, mean length) over all pieces below a window; VOCABULARY rows reach the driver at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, np.uint16)
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
+            _, t, tf = id_counts([np.frombuffer(raw, np.uint16) for raw in batch.column(0).to_pylist()])
+            df += np.bincount(t, minlength=VOCABULARY)
+            n, total = n + len(batch), total + int(tf.sum())
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(seen, [-1, -2]), pa.int64()), pa.array(np.append(df[seen], [n, total]), pa.int64())], names=["token", "n"]
@@ -158,30 +168,36 @@ def term_vectors(rest: DataFrame, idf: np.ndarray, mean_length: float, shared: n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = _orders()
+        orders = np.column_stack([_orders(), np.full((ROUTES, 1), VOCABULARY)])  # no id comes last
         for batch in batches:
-            lengths, terms, counts, routes = [], [], [], []
-            for raw in batch.column(1).to_pylist():
-                ids = np.frombuffer(raw, np.uint16)
-                t, tf = np.unique(ids, return_counts=True)
-                keep = shared[t] & (idf[t] > 0)
-                t, tf = t[keep], tf[keep]
-                top = t[np.argsort(-weights_of(t, tf, len(ids), idf, mean_length), kind="stable")[:ROUTE_TERMS]]
-                first = np.sort(orders[:, top], axis=1)[:, :2].astype(np.int64)
-                lengths.append(len(ids))
-                terms.append(t.tobytes())
-                counts.append(np.minimum(tf, 255).astype(np.uint8).tobytes())
-                routes.append(((np.arange(ROUTES) << 32) + (first[:, 0] << 16) + first[:, -1]) if len(t) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int32()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(routes, pa.list_(pa.int64()))],
-                names=["piece", "length", "terms", "counts", "routes"],
-            )
+            pieces = [np.frombuffer(raw, np.uint16) for raw in batch.column(1).to_pylist()]
+            n, lengths = len(pieces), np.array([len(p) for p in pieces], np.int64)
+            owner, t, tf = id_counts(pieces)
+            keep = shared[t] & (idf[t] > 0)
+            owner, t, tf = owner[keep], t[keep], tf[keep]
+            bounds = np.searchsorted(owner, np.arange(n + 1))
+            heavy = np.lexsort((-weights_of(t, tf, lengths[owner], idf, mean_length), owner))
+            nth = np.arange(len(t)) - bounds[owner]
+            top = np.full((n, ROUTE_TERMS), VOCABULARY)
+            top[owner[nth < ROUTE_TERMS], nth[nth < ROUTE_TERMS]] = t[heavy[nth < ROUTE_TERMS]]
+            first = np.sort(orders[:, top], axis=2)[:, :, :2]
+            first[:, :, 1] = np.where(first[:, :, 1] == VOCABULARY, first[:, :, 0], first[:, :, 1])
+            routes = ((np.arange(ROUTES)[:, None] << 32) + (first[:, :, 0] << 16) + first[:, :, 1]).T
+            tf = np.minimum(tf, 255).astype(np.uint8)
+            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            columns = [
+                pa.array(lengths, pa.int32()),
+                pa.array([t[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([tf[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([r if b > a else [] for r, (a, b) in zip(routes.tolist(), spans, strict=True)], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["piece", "length", "terms", "counts", "routes"])
 
     return map_batches(rest.select("piece", "ids"), run, "piece long, length int, terms binary, counts binary, routes array<long>")
 
 
-def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """BM25 of all of a shard's ``n`` pieces for each as the query, in blocks of queries: (the first one, scores).
+def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """BM25 of all of a shard's ``n`` pieces (columns) for each as the query (rows).
 
     From ids, weights and pieces (ascending) of the postings. Ids in more than one piece of COMMON are multiplied as a dense
     matrix, pairs of the others' postings are expanded.
@@ -191,33 +207,28 @@ def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) ->
     place, dense = np.cumsum(common) - 1, common[t]
     w = np.zeros((n, int(common.sum())), np.float32)
     w[owner[dense], place[t[dense]]] = held[dense]
-    has = (w > 0).astype(np.float32)
+    m = (w > 0).astype(np.float32) @ w.T
+    scores = m.reshape(-1)
     t, owner, held = t[~dense], owner[~dense], held[~dense]
     order = np.argsort(t, kind="stable")
-    owners, weights = owner[order].astype(np.int32), held[order]
-    first, last = np.searchsorted(t[order], t), np.searchsorted(t[order], t, side="right")
-    bounds = np.searchsorted(owner, np.arange(n + 1))
-    pairs = np.append(0, np.cumsum(last - first))[bounds]  # expanded by the pieces before each
+    t, owner, held = t[order], owner[order], held[order]
+    first, size = np.searchsorted(t, t), df[t]  # each posting meets all those of its id
+    pairs = np.append(0, np.cumsum(size))
     lo = 0
-    while lo < n:
-        hi = max(lo + 1, min(lo + 256, n, int(np.searchsorted(pairs, pairs[lo] + MAX_PAIRS, side="right")) - 1))
-        a, b = bounds[lo], bounds[hi]
-        size = last[a:b] - first[a:b]
-        at = np.repeat(first[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        query = np.repeat((owner[a:b] - lo) * n, size)
-        yield lo, np.bincount(query + owners[at], weights[at], (hi - lo) * n).reshape(hi - lo, n) + has[lo:hi] @ w.T
+    while lo < len(t):
+        hi = max(lo + 1, int(np.searchsorted(pairs, pairs[lo] + MAX_PAIRS, side="right")) - 1)
+        at = np.repeat(first[lo:hi] - pairs[lo:hi] + pairs[lo], size[lo:hi]) + np.arange(pairs[hi] - pairs[lo])
+        np.add.at(scores, np.repeat(owner[lo:hi] * n, size[lo:hi]) + owner[at], held[at])
         lo = hi
+    return m
 
 
 def best_in_shard(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each piece of a shard the other one of the highest BM25, and that (0: none shares an id)."""
-    best, score = np.zeros(n, np.int64), np.zeros(n)
-    for lo, m in shard_scores(t, held, owner, n):
-        rows = np.arange(len(m))
-        m[rows, lo + rows] = 0
-        best[lo : lo + len(m)] = m.argmax(axis=1)
-        score[lo : lo + len(m)] = m[rows, best[lo : lo + len(m)]]
-    return best, score
+    m = shard_scores(t, held, owner, n)
+    np.fill_diagonal(m, 0)
+    best = m.argmax(axis=1)
+    return best, m[np.arange(n), best].astype(np.float64)
 
 
 def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -252,16 +263,11 @@ class Shard:
     """A BM25 index of pieces: scores of all of them for each."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, weights, n = [], [], len(pieces)
-        for ids in pieces:
-            t, tf = np.unique(ids, return_counts=True)
-            keep = idf[t] > 0
-            terms.append(t[keep])
-            weights.append(weights_of(t[keep], tf[keep], len(ids), idf, mean_length))
-        owner = np.repeat(np.arange(n), [len(t) for t in terms])
-        self.m = np.zeros((n, n), np.float32)
-        for lo, m in shard_scores(np.concatenate(terms), np.concatenate(weights), owner, n):
-            self.m[lo : lo + len(m)] = m
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        owner, t, tf = id_counts(pieces)
+        keep = idf[t] > 0
+        owner, t, tf = owner[keep], t[keep], tf[keep]
+        self.m = shard_scores(t, weights_of(t, tf, lengths[owner], idf, mean_length), owner, len(pieces))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every piece for all ids of the seed as a query."""
@@ -308,10 +314,9 @@ class Filler:
                 yield full
                 cut = seed if taken[seed] < len(rows[seed][2]) else -1
                 continue
-            scores = index.scores(seed)
-            near = np.flatnonzero((scores > 0) & unused)
-            for j in near[np.argsort(-scores[near], kind="stable")].tolist():
-                unused[j] = False
+            scores = np.where(unused, index.scores(seed), 0)
+            while scores[j := int(scores.argmax())] > 0:
+                scores[j], unused[j] = 0, False
                 taken[j], full = self._add(rows[j], taken[j])
                 if full:
                     yield full
