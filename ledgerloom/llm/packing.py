@@ -161,6 +161,16 @@ def _orders() -> np.ndarray:
     return np.stack([rng.permutation(VOCABULARY) for _ in range(ROUTES)])
 
 
+def heaviest_first(owner: np.ndarray, t: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The ids of each of up to 65536 pieces by descending weight, equal ones ascending: one sort of whole numbers.
+
+    The bits of floats that aren't negative are in the floats' order.
+    """
+    light = np.uint64(0xFFFFFFFF) - weights.astype(np.float32).view(np.uint32).astype(np.uint64)
+    keys = owner.astype(np.uint64) << np.uint64(48) | light << np.uint64(16) | t.astype(np.uint64)
+    return (np.sort(keys) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def term_vectors(rest: DataFrame, idf: np.ndarray, mean_length: float, shared: np.ndarray) -> DataFrame:
     """``piece, length, terms, counts, routes``: ids that other pieces have too, how often (255 at most), a route for each of ROUTES orders.
 
@@ -176,10 +186,10 @@ def term_vectors(rest: DataFrame, idf: np.ndarray, mean_length: float, shared: n
             keep = shared[t] & (idf[t] > 0)
             owner, t, tf = owner[keep], t[keep], tf[keep]
             bounds = np.searchsorted(owner, np.arange(n + 1))
-            heavy = np.lexsort((-weights_of(t, tf, lengths[owner], idf, mean_length), owner))
+            heavy = heaviest_first(owner, t, weights_of(t, tf, lengths[owner], idf, mean_length))
             nth = np.arange(len(t)) - bounds[owner]
             top = np.full((n, ROUTE_TERMS), VOCABULARY)
-            top[owner[nth < ROUTE_TERMS], nth[nth < ROUTE_TERMS]] = t[heavy[nth < ROUTE_TERMS]]
+            top[owner[nth < ROUTE_TERMS], nth[nth < ROUTE_TERMS]] = heavy[nth < ROUTE_TERMS]
             first = np.sort(orders[:, top], axis=2)[:, :, :2]
             first[:, :, 1] = np.where(first[:, :, 1] == VOCABULARY, first[:, :, 0], first[:, :, 1])
             routes = ((np.arange(ROUTES)[:, None] << 32) + (first[:, :, 0] << 16) + first[:, :, 1]).T
@@ -196,18 +206,24 @@ def term_vectors(rest: DataFrame, idf: np.ndarray, mean_length: float, shared: n
     return map_batches(rest.select("piece", "ids"), run, "piece long, length int, terms binary, counts binary, routes array<long>")
 
 
-def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+@functools.lru_cache(maxsize=1)
+def _square(n: int) -> np.ndarray:
+    """A worker's matrix for a shard of ``n`` pieces, used again for the next."""
+    return np.empty((n, n), np.float32)
+
+
+def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int, out: np.ndarray | None = None) -> np.ndarray:
     """BM25 of all of a shard's ``n`` pieces (columns) for each as the query (rows).
 
     From ids, weights and pieces (ascending) of the postings. Ids in more than one piece of COMMON are multiplied as a dense
     matrix, pairs of the others' postings are expanded.
     """
-    _, t, df = np.unique(t, return_inverse=True, return_counts=True)
+    df = np.bincount(t, minlength=VOCABULARY)
     common = df * COMMON > n
     place, dense = np.cumsum(common) - 1, common[t]
     w = np.zeros((n, int(common.sum())), np.float32)
     w[owner[dense], place[t[dense]]] = held[dense]
-    m = (w > 0).astype(np.float32) @ w.T
+    m = np.matmul((w > 0).astype(np.float32), w.T, out=out)
     scores = m.reshape(-1)
     t, owner, held = t[~dense], owner[~dense], held[~dense]
     order = np.argsort(t, kind="stable")
@@ -223,12 +239,32 @@ def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) ->
     return m
 
 
-def best_in_shard(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece of a shard the other one of the highest BM25, and that (0: none shares an id)."""
-    m = shard_scores(t, held, owner, n)
-    np.fill_diagonal(m, 0)
+def equal_rows(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each set of equal rows, the number of each row's set)."""
+    sets: dict = {}
+    of = np.array([sets.setdefault(r, len(sets)) for r in rows], np.int64)
+    return np.unique(of, return_index=True)[1], of
+
+
+def best_in_shard(t: np.ndarray, held: np.ndarray, owner: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece of a shard the first other one of the highest BM25, and that (0: none shares an id).
+
+    Pieces with equal vectors are one in the postings (``owner``) and in the matrix; ``of`` has each piece's vector, numbered
+    as they come.
+    """
+    n = int(of.max()) + 1
+    m = shard_scores(t, held, owner, n, _square(n))
+    members = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[members], np.arange(n + 1))
+    alone = np.flatnonzero(np.diff(first) == 1)
+    m[alone, alone] = 0
     best = m.argmax(axis=1)
-    return best, m[np.arange(n), best].astype(np.float64)
+    score = m[np.arange(n), best].astype(np.float64)[of]
+    found = members[first[best[of]]]
+    itself = np.flatnonzero(found == np.arange(len(of)))  # the next copy, if there is one
+    copies = itself[score[itself] > 0]
+    found[copies] = members[first[best[of[copies]]] + 1]
+    return found, score
 
 
 def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -238,10 +274,12 @@ def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, sha
         held: list[tuple] = []
 
         def search(rows: list[tuple]) -> pa.RecordBatch:
-            names, lengths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+            names, (kept, of) = np.array([r[0] for r in rows], np.int64), equal_rows([r[1:] for r in rows])
+            rows = [rows[i] for i in kept.tolist()]
+            lengths = np.array([r[1] for r in rows])
             t, tf = np.frombuffer(b"".join(r[2] for r in rows), np.uint16), np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
             owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-            best, score = best_in_shard(t, weights_of(t, tf.astype(np.int64), lengths[owner], idf, mean_length), owner, len(rows))
+            best, score = best_in_shard(t, weights_of(t, tf.astype(np.int64), lengths[owner], idf, mean_length), owner, of)
             some = score > 0
             return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[best[some]]), pa.array(score[some])], names=["a", "b", "score"])
 

@@ -108,6 +108,23 @@ def test_best_neighbours_come_from_several_shards(spark, sf_dir):
     assert len(found) > 0.9 * n and sum(found) > 0.4 * n
 
 
+def test_copies_of_a_piece_are_its_neighbours():
+    """Equal vectors are one in the search; every piece still has another one of the highest score, by brute force."""
+    rng = np.random.default_rng(2)
+    kinds = [np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype(np.uint16) for _ in range(12)] + [np.array([99], np.uint16), np.array([77], np.uint16)]
+    pieces = [kinds[i] for i in [0, 1, 1, 2, 3, 0, 4, 5, 6, 1, 7, 8, 9, 10, 11, 12, 13, 13]]
+    kept, of = packing.equal_rows([p.tobytes() for p in pieces])
+    idf = np.linspace(0.5, 3, packing.VOCABULARY * 2)[::2].astype(np.float32) + np.arange(packing.VOCABULARY, dtype=np.float32) % 7
+    alone = [pieces[i] for i in kept]
+    t, owner = np.concatenate(alone), np.repeat(np.arange(len(alone)), [len(p) for p in alone])
+    best, score = packing.best_in_shard(t, idf[t], owner, of)
+    for i, p in enumerate(pieces):
+        want = [0.0 if i == j else float(idf[np.intersect1d(p, q)].sum()) for j, q in enumerate(pieces)]
+        assert abs(score[i] - max(want)) < 1e-3
+        assert score[i] == 0 or (best[i] != i and abs(want[best[i]] - max(want)) < 1e-3)
+    assert score[15] == 0 and best[16] == 17 and best[17] == 16
+
+
 def test_shard_scores_are_bm25():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(0, 30, rng.integers(3, 40)).astype(np.uint16) for _ in range(25)]
