@@ -340,3 +340,16 @@ def q_ocr_retry(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"))
     first, retry = rows.where("seq % 8 < 2"), rows.where("seq % 8 >= 2")
     return tables.keep_retry(first, retry.join(tables.retry_documents(retry.select("doc_id").distinct(), first), "doc_id", "left_semi"))
+
+
+@query(r"""WITH n AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'to 7-' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'POS dr ' || CAST(o_orderkey AS VARCHAR)
+  WHEN 2 THEN 'ADDRESS OF HYDRA' WHEN 3 THEN 'salary DR. ' || CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS VARCHAR) END AS text FROM orders)
+SELECT o_orderkey, coalesce(regexp_matches(text, '(?i)\bDR\b') OR contains(text, '-'), false) AS withdrawal, regexp_matches(text, '[0-9]{1,3}([,.][0-9]{3})*[.,][0-9]{2}') AS amount_in_it FROM n""")
+def q_single_amount_sides(t: Tables) -> DataFrame:
+    """The side of a booking with one amount, by its narration: a hyphen, the word DR in any case, DR inside words, DR and an amount, none."""
+    key = F.col("o_orderkey")
+    number = key.cast("string")
+    price = F.col("o_totalprice").cast("decimal(14,2)").cast("string")
+    narration = F.when(key % 5 == 0, F.concat(F.lit("to 7-"), number)).when(key % 5 == 1, F.concat(F.lit("POS dr "), number))
+    narration = narration.when(key % 5 == 2, F.lit("ADDRESS OF HYDRA")).when(key % 5 == 3, F.concat(F.lit("salary DR. "), price))
+    return t.orders.select("o_orderkey", text.is_withdrawal_narration(narration).alias("withdrawal"), text.has_amount(narration).alias("amount_in_it"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,12 +130,10 @@ def _shared_dir(spark) -> str:
 def q_stream_hourly(t: Tables) -> DataFrame:
     kept = t.events.schema
     stream = t.spark.readStream.schema(kept).parquet(f"{t.sf_dir}/events.parquet*")
-    checkpoint = _shared_dir(t.spark) + "/stream-hourly"
-    import uuid
-
-    name = f"hourly_{uuid.uuid4().hex}"
-    jobs.run_once(jobs.hourly_totals(X.usage(stream)), name, f"{checkpoint}-{name}")
-    return t.spark.table(name)
+    folder = f"{_shared_dir(t.spark)}/stream-hourly-{uuid.uuid4().hex}"
+    totals = jobs.hourly_totals(X.usage(stream))
+    jobs.totals_in_batches(totals, f"{folder}/totals", f"{folder}/state").awaitTermination()
+    return jobs.latest(t.spark.read.parquet(f"{folder}/totals"), "hour")
 
 
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS client, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -174,3 +174,32 @@ def test_parse_stream(spark, tmp_path):
     jobs.parse_in_batches(stream, lambda b: statements.parse(b, table), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(got) == 1 and got[0]["transactions"][0]["deposit"] == 5.0
+
+
+def test_batches_run_again_replace_their_output(spark, tmp_path):
+    """A stream whose state is lost runs its first batch again: the responses are there once."""
+    rows = spark.createDataFrame([("d", 0, "01-05-2020"), ("d", 1, "5.00")], "doc_id string, pos bigint, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    table = spark.createDataFrame([], "doc_id string, row_no bigint, cells array<string>")
+    for check in ("first", "second"):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        jobs.parse_in_batches(stream, lambda b: statements.parse(b, table), str(tmp_path / "out"), str(tmp_path / check)).awaitTermination()
+    assert spark.read.text(str(tmp_path / "out")).count() == 1
+
+
+def test_totals_in_batches(spark, tmp_path):
+    """Hours that later batches change have their last total; a stream without rows has an empty table."""
+    schema = "ts timestamp, tokens bigint"
+    seen, totals = tmp_path / "in", str(tmp_path / "totals")
+    spark.createDataFrame([], schema).write.parquet(str(seen))
+
+    def run(path):
+        stream = spark.readStream.schema(schema).parquet(str(seen))
+        jobs.totals_in_batches(jobs.hourly_totals(stream), path, path + "-state").awaitTermination()
+        return {r["hour"].hour: r["tokens"] for r in jobs.latest(spark.read.parquet(path), "hour").collect()}
+
+    assert run(totals) == {}
+    for more in ([(dt.datetime(2024, 1, 1, 5, 10), 3), (dt.datetime(2024, 1, 1, 6, 0), 4)], [(dt.datetime(2024, 1, 1, 5, 59), 10)]):
+        spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(seen))
+        got = run(totals)
+    assert got == {5: 13, 6: 4}
