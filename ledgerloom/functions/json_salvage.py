@@ -34,17 +34,20 @@ def _balanced_array(x: Column) -> Column:
     return F.when(x.contains("[") & (end > 0), F.substring(tail, F.lit(1), end))
 
 
-def candidates(x: Column) -> Column:
-    """The parts that may be JSON, in the order in which they are tried."""
-    t = without_thinking(x)
-    part = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+def _line_starts(t: Column) -> Column:
+    """The text from each line on that begins an object or a list."""
     own = F.split(t, r"\r\n|[\n\r]")
-    starts = F.filter(
+    return F.filter(
         F.transform(own, lambda line, i: F.when(F.ltrim(line).rlike(r"^[\{\[]"), F.array_join(F.slice(own, i + 1, F.greatest(F.size(own), F.lit(1))), "\n"))),
         lambda s: s.isNotNull(),
     )
-    first = F.array(t, part(r"(?is)```json\s*(\{.*?\})\s*```"), part(r"(?s)```\s*(\{.*?\}|\[.*?\])\s*```"), _between(t, "{", "}"))
-    return F.filter(F.concat(first, starts, F.array(_between(t, "[", "]"), _balanced_array(t))), lambda s: s.isNotNull())
+
+
+def candidates(t: Column) -> list[Column]:
+    """Arrays of the parts of a text without thinking that may be JSON, in the order in which they are tried; parts may be null."""
+    part = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    first = [t, part(r"(?is)```json\s*(\{.*?\})\s*```"), part(r"(?s)```\s*(\{.*?\}|\[.*?\])\s*```"), _between(t, "{", "}")]
+    return [*map(F.array, first), _line_starts(t), F.array(_between(t, "[", "]")), F.array(_balanced_array(t))]
 
 
 def is_json(x: Column) -> Column:
@@ -54,8 +57,12 @@ def is_json(x: Column) -> Column:
 
 
 def salvage_json(x: Column) -> Column:
-    """The first candidate that parses, as JSON text; null if none does."""
-    return F.get(F.filter(candidates(x), is_json), F.lit(0))
+    """The first candidate that parses, as JSON text; null if none does.
+
+    The text is bound once, and a candidate is made only if none before it parses.
+    """
+    first = lambda parts: F.get(F.filter(parts, lambda s: s.isNotNull() & is_json(s)), F.lit(0))
+    return F.get(F.transform(F.array(without_thinking(x)), lambda t: F.coalesce(*map(first, candidates(t)))), F.lit(0))
 
 
 def retry_after_seconds(message: Column) -> Column:

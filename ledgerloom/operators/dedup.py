@@ -58,13 +58,14 @@ def drop_fuzzy(rows: DataFrame, ratio: float = DEFAULTS.fuzzy_ratio, on: str = "
     the fullest, at the place of the first. Only groups of several narrations need Python. (An amount of 0 is never alike: those
     rows go by the exact rule alone.) ``slot`` is the place in the output.
     """
-    k = _keyed(rows)
-    dated, day = k.where(F.coalesce("tran_date", F.lit("")) != ""), [on, "tran_date", "_amt"]
-    same = Window.partitionBy(*day, "_narr", F.when(F.col("_amt") == 0, F.col("_bal")))
-    fullest = dated.withColumn("_nth", F.row_number().over(same.orderBy(F.col("_score").desc(), F.col("seq"))))
-    fullest = fullest.withColumn("slot", F.min(F.col("seq").cast("bigint")).over(same)).where("_nth = 1").drop("_nth")
-    fullest = fullest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*day)))
-    alone, several = fullest.where("_n = 1 or _amt = 0").drop("_n"), fullest.where("_n > 1 and _amt <> 0").drop("_n")
+    k = _keyed(rows).withColumn("_undated", F.coalesce("tran_date", F.lit("")) == "")
+    day = [on, "tran_date", "_amt"]
+    same = Window.partitionBy(*day, "_narr", F.when(F.col("_amt") == 0, F.col("_bal")), "_undated")
+    fullest = k.withColumn("_nth", F.row_number().over(same.orderBy(F.col("_score").desc(), F.col("seq"))))
+    place = F.col("seq").cast("bigint")
+    fullest = fullest.withColumn("slot", F.when(F.col("_undated"), place).otherwise(F.min(place).over(same))).where("_nth = 1 or _undated").drop("_nth")
+    fullest = fullest.withColumn("_n", F.count(F.when((F.col("_amt") != 0) & ~F.col("_undated"), 1)).over(Window.partitionBy(*day))).drop("_undated")
+    alone, several = fullest.where("_n <= 1").drop("_n"), fullest.where("_n > 1").drop("_n")
     columns = several.columns
     narr, score, seq, slot = (columns.index(c) for c in ("_narr", "_score", "seq", "slot"))
 
@@ -80,8 +81,7 @@ def drop_fuzzy(rows: DataFrame, ratio: float = DEFAULTS.fuzzy_ratio, on: str = "
         return [(*row[:slot], place, *row[slot + 1 :]) for _, place, row in kept]
 
     solved = map_groups(several, day, ["slot"], greedy, [(f.name, f.dataType.simpleString()) for f in several.schema.fields])
-    undated = k.where(F.coalesce("tran_date", F.lit("")) == "").withColumn("slot", F.col("seq").cast("bigint"))
-    return solved.unionByName(alone).unionByName(undated).drop(*_KEYS)
+    return solved.unionByName(alone).drop(*_KEYS)
 
 
 def similar_pairs(rows: DataFrame, max_share: float = 0.1, on: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce, json_salvage, metadata
@@ -33,21 +33,26 @@ def model_transactions(answers: DataFrame, on: str = "doc_id") -> DataFrame:
 
     Documents whose answer has none are absent; the parser's second pass takes them.
     """
-    value = json_salvage.salvage_json(F.col("raw"))
-    lists = [F.from_json(F.get_json_object(value, f"$.{k}"), MODEL_SCHEMA) for k in coerce.LIST_KEYS]
-    direct = F.when(value.startswith("["), F.from_json(value, MODEL_SCHEMA))
-    found = F.coalesce(*[F.when(F.size(x) > 0, x) for x in [*lists, direct]])
+    filled = lambda x: F.get(F.filter(F.array(x), lambda l: F.size(l) > 0), F.lit(0))
+
+    def listed(value: Column) -> Column:
+        lists = [F.from_json(F.get_json_object(value, f"$.{k}"), MODEL_SCHEMA) for k in coerce.LIST_KEYS]
+        return F.coalesce(*map(filled, [*lists, F.when(value.startswith("["), F.from_json(value, MODEL_SCHEMA))]))
+
+    found = F.get(F.transform(F.array(json_salvage.salvage_json(F.col("raw"))), listed), F.lit(0))  # an answer is salvaged once
     rows = answers.select(on, F.posexplode(found).alias("seq", "rec"))
     return coerce.coerce_rows(rows.withColumn("seq", F.col("seq").cast("bigint")))
 
 
 def transactions(layout: DataFrame, table: DataFrame, answers: DataFrame | None = None, on: str = "doc_id") -> DataFrame:
     """The model's transactions without duplicates, and the block parser's for documents where it gave none; normalised."""
-    own = lambda: blocks.parse_blocks(lines.clean_lines(blocks.source_lines(table, layout, on)), on)
+    own = lambda rows: blocks.parse_blocks(lines.clean_lines(rows), on)
     if answers is None:
-        return ledger.normalize(own())
+        return ledger.normalize(own(blocks.source_lines(table, layout, on)))
     model = model_transactions(answers, on)
-    others = own().join(model.select(on).distinct(), on, "left_anti")
+    answered = model.select(on).distinct()
+    without = [x.join(answered, on, "left_anti") for x in (table, layout)]  # before the parser: it reads no answered document's lines
+    others = own(blocks.source_lines(*without, on))
     return ledger.normalize(dedup.drop_fuzzy(model, on=on).drop("slot").unionByName(others.select(*model.columns)))
 
 
