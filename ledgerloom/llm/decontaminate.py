@@ -3,7 +3,7 @@
 1. Texts become sequences of the benchmark's words (any other word is one and the same filler): words outside
    the benchmark can't match an item. Document frequencies are counted over all documents.
 2. A passage is two neighbouring blocks of BLOCK words, one passage for each block. TF-IDF passages of the benchmark
-   and of a sample of the documents give, by a distributed randomised SVD, RANK latent directions.
+   and of all documents give, by a distributed randomised SVD, RANK latent directions.
 3. Every passage of every document is searched against all items' passages by cosine; pairs of at least MIN_COSINE
    are candidates. Of those, the words around the passage have to hold the item's words in order (longest common
    subsequence) and its answer.
@@ -41,15 +41,16 @@ NEARLY_ALL = 0.9
 #: all words have to be there in a row.
 LEAST_WORDS = 5
 SHORT_WORDS = 8
-#: Expected documents of the sample that the directions are fitted on; all passages are searched.
-SAMPLE_DOCS = 20_000
-#: In the fit, all benchmark passages together weigh this much more than all sampled ones: directions have to tell items apart.
+#: In the fit, all benchmark passages together weigh this much more than all the documents': directions have to tell items apart.
 BENCH_WEIGHT = 2.4
 #: Items of one search pass: bounds what is sent to a task besides the vocabulary's directions. And passages of items compared at once.
 MAX_ITEMS = 20_000
 QUERY_BLOCK = 2048
 #: Words projected at once.
 CHUNK_WORDS = 1 << 14
+#: Blocks of one product in the fit, and how many of the commonest words go through a dense matrix there: a column costs less than its places.
+FIT_BLOCKS = 2048
+DENSE_WORDS = 512
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -205,76 +206,123 @@ def inverse_frequencies(encoded: DataFrame, bench: Bench) -> np.ndarray:
     return idf
 
 
-def _squared_lengths(passages: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Squared lengths of the passages' TF-IDF vectors: runs of equal words in each sorted passage."""
-    s = np.sort(passages, axis=1)
-    new = np.ones(s.shape, bool)
-    new[:, 1:] = s[:, 1:] != s[:, :-1]
-    starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, s.size))
-    weights = (counts * idf[s.ravel()[starts]]) ** 2
-    rows = np.searchsorted(starts, np.arange(len(s)) * s.shape[1])
-    return np.add.reduceat(weights, rows)
-
-
-def _sparse_products(passages: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """(A^T A) omega of the passages' TF-IDF matrix A, rows of length 1; without its filler row."""
-    table = np.vstack([omega, np.zeros((1, omega.shape[1]))]) * idf[:, None]
-    y = table[passages].sum(axis=1)
-    y /= np.maximum(_squared_lengths(passages, idf), 1e-18)[:, None]
-    out = np.zeros((len(idf), omega.shape[1]))
-    order = np.argsort(passages, axis=None, kind="stable")
-    words = passages.ravel()[order]
-    starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-    sums = np.add.reduceat(y[order // passages.shape[1]], starts, axis=0)
-    out[words[starts]] = sums * idf[words[starts]][:, None]
-    return out[:-1]
-
-
-def latent_directions(encoded: DataFrame, bench: Bench, idf: np.ndarray, sample_docs: int = SAMPLE_DOCS, seed: int = 3) -> np.ndarray:
+def runs_of(ids: np.ndarray, filler: int) -> Iterator[np.ndarray]:
+    """Runs of at most FIT_BLOCKS + 1 blocks, each two neighbours of which are one of the text's passages; no passage is in two runs."""
+    blocks = blocks_of(ids, filler)
+    if len(blocks) == 1:
+        blocks = np.concatenate([blocks, np.full_like(blocks, filler)])
+    for at in range(0, len(blocks) - 1, FIT_BLOCKS):
+        yield blocks[at : at + FIT_BLOCKS + 1]
+
+
+def _starts(sorted_numbers: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_numbers[1:] != sorted_numbers[:-1]))
+
+
+class Gram:
+    """(A^T A) omega of the TF-IDF matrix A of all passages that are added, its rows of length 1, without the filler's row.
+
+    Of a block, the commonest words are counted in a dense matrix; the others are looked up one by one.
+    """
+
+    def __init__(self, idf: np.ndarray, omega: np.ndarray):
+        self.size, self.idf = len(omega), idf
+        self.table = (omega * idf[:-1, None]).astype(np.float32)
+        self.dense = np.argsort(idf[:-1], kind="stable")[:DENSE_WORDS]
+        self.rare = len(self.dense)
+        self.place = np.full(self.size + 1, self.rare)
+        self.place[self.dense] = np.arange(self.rare)
+        self.place[self.size] = self.rare + 1
+        self.dense_table, self.dense_squares = self.table[self.dense], (idf[self.dense] ** 2).astype(np.float32)
+        self.total, self.passages = np.zeros(omega.shape), 0
+        self.held: list[np.ndarray] = []
+        self.blocks = 0
+
+    def add(self, ids: np.ndarray) -> None:
+        """A text's passages; those without a word of the benchmark count for nothing."""
+        for run in runs_of(ids, self.size):
+            self.held.append(run)
+            self.blocks += len(run)
+            if self.blocks >= FIT_BLOCKS:
+                self._flush()
+
+    def _flush(self) -> None:
+        blocks = np.concatenate(self.held)
+        n, ends = len(blocks), np.cumsum([len(r) for r in self.held]) - 1
+        self.held, self.blocks = [], 0
+        place = self.place[blocks]
+        some = (place <= self.rare).any(axis=1)
+        inside = some[:-1] | some[1:]
+        inside[ends[:-1]] = False  # from one run to the next is no passage
+
+        counts = np.zeros((n, self.rare), np.float32)
+        owner, _ = np.nonzero(place < self.rare)
+        np.add.at(counts.reshape(-1), owner * self.rare + place[place < self.rare], np.float32(1))
+        of, _ = np.nonzero(place == self.rare)
+        words = blocks[place == self.rare]
+
+        sums = counts @ self.dense_table
+        if len(of):
+            at = _starts(of)
+            sums[of[at]] += np.add.reduceat(self.table[words], at, axis=0)
+        both = counts[:-1] + counts[1:]
+        squares = ((both * both) @ self.dense_squares).astype(np.float64)
+        keys = np.sort(np.concatenate([of[of < n - 1] * self.size + words[of < n - 1], (of[of > 0] - 1) * self.size + words[of > 0]]))
+        if len(keys):
+            at = _starts(keys)
+            passage, word = np.divmod(keys[at], self.size)
+            squares += np.bincount(passage, (np.diff(np.append(at, len(keys))) * self.idf[word]) ** 2, n - 1)
+
+        y = (sums[:-1] + sums[1:]) * (inside / np.maximum(squares, 1e-18)).astype(np.float32)[:, None]
+        back = np.zeros_like(sums)
+        back[:-1] += y
+        back[1:] += y
+        self.total[self.dense] += counts.T @ back
+        if len(of):
+            order = np.argsort(words, kind="stable")
+            at = _starts(words[order])
+            self.total[words[order][at]] += np.add.reduceat(back[of[order]], at, axis=0)
+        self.passages += int(inside.sum())
+
+    def product(self) -> np.ndarray:
+        if self.held:
+            self._flush()
+        return self.total * self.idf[:-1, None]
+
+
+def latent_directions(encoded: DataFrame, bench: Bench, idf: np.ndarray, seed: int = 3) -> np.ndarray:
     """Words x RANK, from ``encoded`` with a column ``words``: right singular vectors of the weighted TF-IDF passages, by a randomised range finder.
 
-    Two distributed passes over the sample: A^T A omega for a random omega, then the same for its orthonormal basis.
+    Two distributed passes over all documents: A^T A omega for a random omega, then the same for its orthonormal basis.
     A task sends its sum in rows of one word each, which combine before they reach the driver.
     """
-    n = encoded.count()
-    keep = min(1.0, sample_docs / max(1, n))
-    sample = encoded.where(F.pmod(F.xxhash64("words", F.lit(seed)), F.lit(1 << 30)) < int(keep * (1 << 30))).select("words")
     size, rank = bench.size, min(RANK, bench.size)
     width = min(bench.size, rank + OVERSAMPLE)
 
     def gram(omega: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = np.zeros_like(omega), 0
+            g = Gram(idf, omega)
             for batch in batches:
-                held, count = [], 0
-                for raw in [*batch.column(0).to_pylist(), None]:
-                    if raw is not None:
-                        ids = np.frombuffer(raw, np.uint32).astype(np.int64)
-                        parts = passages_of(blocks_of(ids, size), size)
-                        parts = parts[(parts < size).any(axis=1)]
-                        for at in range(0, len(parts), CHUNK_WORDS // BLOCK):
-                            held.append(parts[at : at + CHUNK_WORDS // BLOCK])
-                            count += len(held[-1])
-                            seen += len(held[-1])
-                            if count >= CHUNK_WORDS // BLOCK:
-                                total += _sparse_products(np.concatenate(held), idf, omega)
-                                held, count = [], 0
-                    elif count:
-                        total += _sparse_products(np.concatenate(held), idf, omega)
+                for raw in batch.column(0).to_pylist():
+                    g.add(np.frombuffer(raw, np.uint32).astype(np.int64))
+            total = g.product()
             rows = np.flatnonzero(total.any(axis=1))
-            values = [*total[rows], np.full(width, float(seen))]  # the last row: the number of passages
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1), pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["word", "v"])
-
-        own = _sparse_products(bench.passages, idf, omega) / len(bench.passages)
-        sums = map_batches(sample, run, "word long, v array<double>").groupBy("word").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(omega.shape[1])])
+            values = np.append(total[rows], np.full((1, width), float(g.passages)), axis=0)  # the last row: the number of passages
+            flat = pa.array(values.astype(np.float32).ravel(), pa.float32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * width, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1), pa.int64()), lists], names=["word", "v"])
+
+        own = Gram(idf, omega)
+        for words in bench.words:
+            own.add(np.array(words, np.int64))
+        sums = map_batches(encoded.select("words"), run, "word long, v array<float>").groupBy("word").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(omega.shape[1])])
         total, n_seen = np.zeros_like(omega), 0.0
         for row in sums.collect():
             if row[0] < 0:
                 n_seen = row[1]
             else:
                 total[row[0]] = row[1:]
-        return BENCH_WEIGHT * own + total / max(1.0, n_seen)
+        return BENCH_WEIGHT * own.product() / len(bench.passages) + total / max(1.0, n_seen)
 
     basis, _ = np.linalg.qr(gram(np.random.default_rng(seed).standard_normal((size, width))))
     small = basis.T @ gram(basis)

@@ -323,3 +323,45 @@ def test_directions_span_the_benchmark(spark):
         assert abs(idf[vocabulary[word]] - np.log((n + 1) / (df + 1))) < 1e-9
     v = decontaminate.latent_directions(encoded, bench, idf)
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-6)
+
+
+def dense_passages(ids, idf):
+    """TF-IDF passages of a text as rows of length 1."""
+    passages = decontaminate.passages_of(decontaminate.blocks_of(ids, len(idf) - 1), len(idf) - 1)
+    rows = np.stack([np.bincount(p, minlength=len(idf)) for p in passages])[:, :-1] * idf[:-1]
+    rows = rows[rows.any(axis=1)]
+    return rows / np.sqrt((rows**2).sum(axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("size", [40, 900])
+def test_gram_of_passages(size):
+    rng = np.random.default_rng(size)
+    lengths = [0, 1, 23, 24, 25, 48, 49, 500, decontaminate.BLOCK * (decontaminate.FIT_BLOCKS * 2 + 3), *rng.integers(1, 200, 300)]
+    texts = [np.minimum(rng.geometric(4 / size, n), size) for n in lengths] + [np.full(70, size)]
+    idf = np.append(rng.uniform(0.1, 5, size), 0)
+    omega = rng.standard_normal((size, 12))
+    g = decontaminate.Gram(idf, omega)
+    for t in texts:
+        g.add(t)
+    a = np.concatenate([dense_passages(t, idf) for t in texts])
+    want = a.T @ (a @ omega)
+    assert np.allclose(g.product(), want, atol=1e-5 * np.abs(want).max()) and g.passages == len(a)
+
+
+def test_directions_are_those_of_all_documents(spark):
+    rng = np.random.default_rng(4)
+    size, n = 300, 24_000
+    words = [[int(x) for x in rng.integers(0, size, 20)] for _ in range(40)] + [list(range(size))]
+    bench = decontaminate.Bench(list(range(len(words))), words, size, {})
+    texts = np.minimum(rng.geometric(0.02, (n, 10)), size).astype(np.uint32)
+    encoded = spark.createDataFrame([(t.tobytes(),) for t in texts], "words binary").repartition(4)
+    idf = decontaminate.inverse_frequencies(encoded, bench)
+    items = np.concatenate([dense_passages(np.array(w), idf) for w in words])
+    docs = np.concatenate([dense_passages(t.astype(np.int64), idf) for t in texts])
+    gram = decontaminate.BENCH_WEIGHT * items.T @ items / len(items) + docs.T @ docs / len(docs)
+    basis, _ = np.linalg.qr(gram @ np.random.default_rng(3).standard_normal((size, decontaminate.RANK + decontaminate.OVERSAMPLE)))
+    values, u = np.linalg.eigh(basis.T @ gram @ basis)
+    v = decontaminate.latent_directions(encoded, bench, idf)
+    assert np.allclose(np.diag(v.T @ gram @ v), values[::-1][: decontaminate.RANK], rtol=1e-4)
+    want = basis @ u[:, ::-1][:, :40]
+    assert np.abs(v[:, :40] @ v[:, :40].T - want @ want.T).max() < 1e-4
