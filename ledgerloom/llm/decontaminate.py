@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -48,9 +50,11 @@ MAX_ITEMS = 20_000
 QUERY_BLOCK = 2048
 #: Words projected at once.
 CHUNK_WORDS = 1 << 14
-#: Blocks of one product in the fit, and how many of the commonest words go through a dense matrix there: a column costs less than its places.
+#: Blocks of one product in the fit, of one look-up there, and how many of the commonest words go through a dense matrix: a column costs
+#: less than its places.
 FIT_BLOCKS = 2048
-DENSE_WORDS = 512
+SUM_BLOCKS = 64
+DENSE_WORDS = 256
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -154,7 +158,7 @@ def words_column(vocabulary: dict[str, int]) -> Callable[[Column], Column]:
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array([vocabulary.get(w, filler) for w in words_of(t)], np.uint32).tobytes() for t in texts], dtype=object)
+        return pd.Series([array("I", list(map(vocabulary.get, words_of(t), repeat(filler)))).tobytes() for t in texts], dtype=object)
 
     return encode
 
@@ -219,21 +223,35 @@ def _starts(sorted_numbers: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_numbers[1:] != sorted_numbers[:-1]))
 
 
+def _sums_by_word(words: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, and for each the sum of ``rows[at]`` over its places: all first places, then all second ones and so on."""
+    order = np.argsort(words, kind="stable")
+    words, at = words[order], at[order]
+    starts = _starts(words)
+    n = np.diff(np.append(starts, len(words)))
+    sums, k, left = rows[at[starts]], 1, np.flatnonzero(n > 1)
+    while len(left):
+        sums[left] += rows[at[starts[left] + k]]
+        k += 1
+        left = left[n[left] > k]
+    return words[starts], sums
+
+
 class Gram:
     """(A^T A) omega of the TF-IDF matrix A of all passages that are added, its rows of length 1, without the filler's row.
 
-    Of a block, the commonest words are counted in a dense matrix; the others are looked up one by one.
+    A block's words are looked up and added; back from the blocks to the words, the commonest go through a dense matrix of counts.
     """
 
     def __init__(self, idf: np.ndarray, omega: np.ndarray):
         self.size, self.idf = len(omega), idf
-        self.table = (omega * idf[:-1, None]).astype(np.float32)
+        self.table = (np.vstack([omega, np.zeros((1, omega.shape[1]))]) * idf[:, None]).astype(np.float32)
         self.dense = np.argsort(idf[:-1], kind="stable")[:DENSE_WORDS]
         self.rare = len(self.dense)
         self.place = np.full(self.size + 1, self.rare)
         self.place[self.dense] = np.arange(self.rare)
         self.place[self.size] = self.rare + 1
-        self.dense_table, self.dense_squares = self.table[self.dense], (idf[self.dense] ** 2).astype(np.float32)
+        self.dense_squares = (idf[self.dense] ** 2).astype(np.float32)
         self.total, self.passages = np.zeros(omega.shape), 0
         self.held: list[np.ndarray] = []
         self.blocks = 0
@@ -256,15 +274,11 @@ class Gram:
         inside[ends[:-1]] = False  # from one run to the next is no passage
 
         counts = np.zeros((n, self.rare), np.float32)
-        owner, _ = np.nonzero(place < self.rare)
-        np.add.at(counts.reshape(-1), owner * self.rare + place[place < self.rare], np.float32(1))
-        of, _ = np.nonzero(place == self.rare)
-        words = blocks[place == self.rare]
+        common = place < self.rare
+        np.add.at(counts.reshape(-1), np.nonzero(common)[0] * self.rare + place[common], np.float32(1))
+        of, words = np.nonzero(place == self.rare)[0], blocks[place == self.rare]
 
-        sums = counts @ self.dense_table
-        if len(of):
-            at = _starts(of)
-            sums[of[at]] += np.add.reduceat(self.table[words], at, axis=0)
+        sums = np.concatenate([self.table[blocks[at : at + SUM_BLOCKS]].sum(axis=1) for at in range(0, n, SUM_BLOCKS)])
         both = counts[:-1] + counts[1:]
         squares = ((both * both) @ self.dense_squares).astype(np.float64)
         keys = np.sort(np.concatenate([of[of < n - 1] * self.size + words[of < n - 1], (of[of > 0] - 1) * self.size + words[of > 0]]))
@@ -279,9 +293,8 @@ class Gram:
         back[1:] += y
         self.total[self.dense] += counts.T @ back
         if len(of):
-            order = np.argsort(words, kind="stable")
-            at = _starts(words[order])
-            self.total[words[order][at]] += np.add.reduceat(back[of[order]], at, axis=0)
+            word, sums = _sums_by_word(words, back, of)
+            self.total[word] += sums
         self.passages += int(inside.sum())
 
     def product(self) -> np.ndarray:
