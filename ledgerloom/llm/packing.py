@@ -24,6 +24,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 NAMED = "byte_bpe_50k.json"
 VOCABULARY = 50257
 END = 0
+#: The named pattern in a form that never tries shorter matches of a run: the same splits (tested), found faster.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Texts with so much white space on end go to the named tokenizer itself: the faster one's pattern search runs out of stack there.
 LONG_SPACE = 100_000
 WINDOW = 1024
@@ -54,7 +56,7 @@ def load_encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens())
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens())
 
 
 @functools.lru_cache(maxsize=1)

@@ -20,6 +20,16 @@ def test_ids_are_those_of_the_named_tokenizer(hard_rows):
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encode(x) for x in texts]
 
 
+def test_the_faster_pattern_splits_as_the_named_one():
+    rng = random.Random(8)
+    parts = ["a", "bc", "É", "́", "日本", "1", "22", "½", "'", "'s", "'ll", "'T", "'vex", "!", "?!", "_", " ", "  ", "\n", "\r\n", "\t", "\u3000", "\u200b", "\x85", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    encoder = packing.load_encoder(public_tokenizers.path(packing.RANKS))
+    assert packing.PATTERN != public_tokenizers.PATTERN and encoder._pat_str == packing.PATTERN
+    ids = [e.ids for e in packing.named_tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encode_text(encoder, x) for x in texts] == ids
+
+
 def test_markers_get_the_named_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
