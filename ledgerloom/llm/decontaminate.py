@@ -14,16 +14,17 @@ benchmark of more than ``max_items`` is searched in several passes over the stor
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +57,44 @@ FIT_BLOCKS = 2048
 SUM_BLOCKS = 64
 DENSE_WORDS = 256
 
+#: Characters beyond ASCII that are told apart at once.
+CHARS = 1 << 20
+
 _WORD = re.compile(r"[^\W_]+")
+_ASCII = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+@functools.lru_cache(maxsize=1)
+def _alphanumeric() -> np.ndarray:
+    return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def spaced_words(text: str | None) -> str:
+    """The words of ``words_of`` with blanks between, before and after them."""
+    if not text or text.isascii():
+        return (text or "").translate(_ASCII)
+    text, known = text.lower(), _alphanumeric()
+    out = []
+    for at in range(0, len(text), CHARS):
+        chars = np.frombuffer(text[at : at + CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        out.append(np.where(known[chars], chars, np.uint32(32)).tobytes().decode("utf-32-le"))
+    return "".join(out)
+
+
+def word_numbers(texts: pa.Array, vocabulary: pa.Array) -> pa.Array:
+    """The words of each text as 32-bit numbers: their places in the vocabulary, its length for all others."""
+    lists = pc.ascii_split_whitespace(pa.array(map(spaced_words, texts.to_pylist()), pa.string(), size=len(texts)))
+    words, ends = lists.flatten(), lists.offsets.to_numpy()
+    real = np.append(0, np.cumsum(pc.binary_length(words).to_numpy() > 0, dtype=np.int32))  # before, between and after blanks are empty ones
+    numbers = pc.fill_null(pc.index_in(words, value_set=vocabulary), len(vocabulary)).to_numpy()[np.diff(real) > 0]
+    offsets = (real[ends - ends[0]] * 4).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype(np.uint32))])
+
+
 def blocks_of(ids: np.ndarray, filler: int) -> np.ndarray:
     n = max(1, -(-len(ids) // BLOCK))
     out = np.full(n * BLOCK, filler, np.int64)
@@ -154,11 +186,11 @@ def load_bench(benchmark: DataFrame) -> tuple[Bench, dict[str, int]] | None:
 
 def words_column(vocabulary: dict[str, int]) -> Callable[[Column], Column]:
     """The text's words as numbers in the benchmark's vocabulary (its size for all others), 32 bits each."""
-    filler = len(vocabulary)
+    known = pa.array(sorted(vocabulary, key=vocabulary.__getitem__), pa.string())
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([array("I", list(map(vocabulary.get, words_of(t), repeat(filler)))).tobytes() for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
+        return word_numbers(texts, known)
 
     return encode
 

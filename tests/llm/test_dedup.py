@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import decontaminate, neardup, suffixdedup
@@ -281,6 +282,21 @@ def brute_leaks(rows, items):
     return out
 
 
+def test_words_are_numbered_as_the_pattern_finds_them(monkeypatch):
+    """Without a match for each word; every character counts as the pattern has it, and chunks change nothing."""
+    rng = random.Random(4)
+    parts = ["a", "bC", "É", "ΑΣ", "Σ", "İ", "e\u0301", "日本", "½", "7", "_", "'", "-", " ", "  ", "\n", "\x00", "\x1c", "\u3000", "\u200b", "😀"]
+    texts = [None, "", "  ", "\n_", *("".join(rng.choice(parts[: rng.choice([2, len(parts)])]) for _ in range(rng.randrange(40))) for _ in range(2000))]
+    texts += ["".join(f"x{chr(c)}Y{chr(c)} " for c in range(at, at + 4096) if not 0xD800 <= c < 0xE000) for at in range(0, 0x20000, 4096)]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts[::2] for w in decontaminate.words_of(t)}))}
+    want = [[vocabulary.get(w, len(vocabulary)) for w in decontaminate.words_of(t)] for t in texts]
+    known = pa.array(list(vocabulary), pa.string())
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(decontaminate, "CHARS", size)
+        for texts_, want_ in ((pa.array(texts), want), (pa.array(texts)[3:90], want[3:90])):
+            assert [np.frombuffer(x, np.uint32).tolist() for x in decontaminate.word_numbers(texts_, known).to_pylist()] == want_
+
+
 def test_passes_over_the_items_change_nothing(spark):
     rows, items = leak_corpus()
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
