@@ -26,6 +26,13 @@ VOCABULARY = 50257
 END = 0
 #: The named pattern in a form that never tries shorter matches of a run: the same splits (tested), found faster.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: The same for texts without white space on end: nothing is looked ahead for, so an automaton without steps back finds the splits.
+PLAIN_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: White space in ASCII, as the patterns see it, and the first and second bytes of the UTF-8 of all other white space.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_SECOND = np.isin(np.arange(256), [0x80, 0x81, 0x85, 0x9A, 0xA0])
+_WIDE = np.array(sorted(int.from_bytes(chr(c).encode().ljust(3, b"\0")) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Texts with so much white space on end go to the named tokenizer itself: the faster one's pattern search runs out of stack there.
 LONG_SPACE = 100_000
 WINDOW = 1024
@@ -50,13 +57,13 @@ def added_tokens() -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
-@functools.lru_cache(maxsize=2)
-def load_encoder(path: str):
+@functools.lru_cache(maxsize=4)
+def load_encoder(path: str, pattern: str = PATTERN):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens())
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added_tokens())
 
 
 @functools.lru_cache(maxsize=1)
@@ -82,13 +89,87 @@ def encode_text(encoder, text: str) -> list[int]:
     return text_ids(encoder, text).tolist()
 
 
+@functools.lru_cache(maxsize=2)
+def id_lengths(path: str) -> np.ndarray:
+    """Bytes of each id."""
+    encoder = load_encoder(path)
+    return np.array([len(encoder.decode_single_token_bytes(i)) for i in range(encoder.max_token_value + 1)])
+
+
+def words_of(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts start, and which of them have to be split on their own; the texts are ``raw`` cut at ``offsets``.
+
+    A text is cut before each blank between two characters that aren't white space: one always starts a match of the named pattern, and
+    no match looks beyond it. Of words that start with a blank, don't end in white space and have none on end, PLAIN_PATTERN finds
+    the same splits wherever they stand; the others are told apart.
+    """
+    n = len(raw)
+    raw = np.append(np.frombuffer(raw, np.uint8), np.zeros(2, np.uint8))
+    white = _WHITE[raw]
+    lead = np.flatnonzero(_FIRST[raw[:-2]] & _SECOND[raw[1:-1]])
+    first, second, third = (raw[lead + k].astype(np.int64) for k in range(3))
+    third[first == 0xC2] = 0
+    wide = np.isin(first << 16 | second << 8 | third, _WIDE)
+    for k in range(3):
+        white[lead[wide & ((first != 0xC2) | (k < 2))] + k] = True
+    cut = raw[: n + 1] == 32
+    cut[1:] &= ~white[:n]
+    cut &= ~white[1 : n + 2]
+    cut[offsets] = True
+    cut[n] = False
+    starts = np.flatnonzero(cut)
+    own = (raw[starts] != 32) | white[np.append(starts[1:], n) - 1]
+    pairs = np.flatnonzero(white[:-1] & white[1:])
+    own[np.searchsorted(starts, pairs, side="right") - 1] = True
+    return starts, own
+
+
+def _content(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All bytes of an Arrow column of them, and where each value starts, and the end."""
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(values) + 1, 4 * values.offset)
+    n = int(offsets[-1] - offsets[0])
+    return (data.slice(int(offsets[0]), n).to_pybytes() if n else b""), offsets - offsets[0]
+
+
+def ids_of_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """The named tokenizer's ids of each text (null: none). Equal words are split and merged once."""
+    raw, offsets = _content(texts.cast(pa.binary()))
+    if not len(raw):
+        return [np.zeros(0, np.uint16)] * len(texts)
+    starts, own = words_of(raw, offsets)
+    bounds = np.append(starts, len(raw)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+    of, words = words.indices.to_numpy(), words.dictionary
+    alone = np.zeros(len(words), bool)
+    alone[of[own]] = True
+
+    encoder = load_encoder(path)
+    found = [text_ids(encoder, w.decode()) for w in words.filter(pa.array(alone)).to_pylist()]
+    several = words.filter(pa.array(~alone))
+    text, ends = _content(several)
+    joined = load_encoder(path, PLAIN_PATTERN).encode_to_numpy(text.decode(), allowed_special="all")
+    ends = np.searchsorted(np.cumsum(id_lengths(path)[joined]), ends[1:], side="right")
+    size = np.zeros(len(words), np.int64)
+    size[alone], size[~alone] = [len(x) for x in found], np.diff(ends, prepend=0)
+    at = np.zeros(len(words), np.int64)
+    at[~alone], at[alone] = ends - size[~alone], len(joined) + np.cumsum(size[alone]) - size[alone]
+    ids = np.concatenate([joined, *found]).astype(np.uint16)
+
+    size, at = size[of], at[of]
+    ends = np.cumsum(size)
+    ids = ids[np.repeat(at - ends + size, size) + np.arange(ends[-1])]
+    cuts = np.append(0, ends)[np.searchsorted(starts, offsets)].tolist()
+    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _KINDS = [*[pa.int64()] * 6, pa.binary()]
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 def crc_of(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids.astype("<u4"))
 
 
 def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -96,12 +177,11 @@ def cut_documents(docs: DataFrame, ranks_path: str | None = None, window: int =
     path = ranks_path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(path)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(text_ids(encoder, text or ""), END).astype(np.uint16)
+            for doc_id, found in zip(batch.column(0).to_pylist(), ids_of_texts(batch.column(1), path), strict=True):
+                ids = np.append(found, np.uint16(END))
                 n = len(ids)
                 for start in range(0, n, window):
                     part = ids[start : start + window]
@@ -263,6 +343,12 @@ def best_in_shard(t: np.ndarray, held: np.ndarray, owner: np.ndarray, of: np.nda
     return found, score
 
 
+def places(score: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the scores (32-bit floats that aren't negative); equal scores are told apart by 32 bits of ``b``'s hash."""
+    tie = b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    return (score.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | tie).astype(np.int64)
+
+
 def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``a, b``: each piece and the best neighbour that any of its term shards has for it."""
 
@@ -277,7 +363,7 @@ def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, sha
             owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
             best, score = best_in_shard(t, weights_of(t, tf.astype(np.int64), lengths[owner], idf, mean_length), owner, of)
             some = score > 0
-            return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[best[some]]), pa.array(score[some])], names=["a", "b", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[best[some]]), pa.array(places(score[some], names[best[some]]))], names=["a", "b", "place"])
 
         for batch in batches:
             held += zip(*[batch.column(c).to_pylist() for c in ("piece", "length", "terms", "counts")], strict=True)
@@ -289,8 +375,8 @@ def best_neighbours(vectors: DataFrame, idf: np.ndarray, mean_length: float, sha
 
     routed = vectors.select("piece", "length", "terms", "counts", F.explode("routes").alias("route"))
     shards = routed.repartitionByRange("route", "piece").sortWithinPartitions("route", "piece").select("piece", "length", "terms", "counts")
-    found = map_batches(shards, run, "a long, b long, score double")
-    return found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+    found = map_batches(shards, run, "a long, b long, place long")
+    return found.groupBy("a").agg(F.max_by("b", "place").alias("b"))  # on whole numbers alone, which needs no sort
 
 
 class Shard:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import packing, warc
@@ -30,6 +31,47 @@ def test_the_faster_pattern_splits_as_the_named_one():
     assert [packing.encode_text(encoder, x) for x in texts] == ids
 
 
+def test_words_of_a_batch_are_encoded_once():
+    """Ids of whole batches, whose equal words are split and merged once, are those of the named tokenizer for each text."""
+    rng = random.Random(5)
+    parts = ["a", "bc", "É", "́", "日本", "、", "“", "1", "½", "'s", "'T", "'vex", "!", "_", *[" "] * 4, "  ", "\n", "\r\n", "\t", "\u3000", "\u2009", "\u200b", "\x85", "\xa0", "\x1c", "\x00", "<|endoftext|>", "😀"]
+    texts = [None, "", " ", "\n", "", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)), "x" * 3000, " "]
+    texts += [f"a{chr(c)}a1{chr(c)}1 {chr(c)}!{chr(c)}b's {chr(c)} {chr(c)}y" for c in range(0x3100)]
+    want = [e.ids for e in packing.named_tokenizer().encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    path, whole = public_tokenizers.path(packing.RANKS), pa.array(texts, pa.string())
+    for at in range(0, len(texts), 700):
+        assert [x.tolist() for x in packing.ids_of_texts(whole.slice(at, 700), path)] == want[at : at + 700]
+    assert packing.ids_of_texts(whole.slice(0, 2), path)[1].size == 0 and packing.ids_of_texts(whole.slice(0, 0), path) == []
+
+
+def test_few_words_reach_the_encoder(monkeypatch):
+    """A word that comes again costs no second match."""
+    class Counting:
+        def __init__(self, encoder):
+            self.encoder, self.seen, self.max_token_value = encoder, 0, encoder.max_token_value
+
+        def encode_to_numpy(self, text, **options):
+            self.seen += len(text)
+            return self.encoder.encode_to_numpy(text, **options)
+
+        def decode_single_token_bytes(self, i):
+            return self.encoder.decode_single_token_bytes(i)
+
+    path = public_tokenizers.path(packing.RANKS)
+    encoder = Counting(packing.load_encoder(path))
+    monkeypatch.setattr(packing, "load_encoder", lambda *_: encoder)
+    found = packing.ids_of_texts(pa.array([" so it is said again" * 50] * 20), path)
+    assert encoder.seen == len(" so it is said again") and len({x.tobytes() for x in found}) == 1
+
+
+def test_places_are_in_the_order_of_the_scores():
+    rng = np.random.default_rng(6)
+    score = np.append(rng.exponential(9, 500), [0.1, 0.1, 1e-30, 3e38]).astype(np.float32).astype(np.float64)
+    b = rng.permutation(len(score)) << 33
+    place = packing.places(score, b)
+    assert (np.diff(score[np.argsort(place)]) >= 0).all() and len(set(place.tolist())) == len(place) and (place > 0).all()
+
+
 def test_markers_get_the_named_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
