@@ -29,10 +29,12 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 #: The same for texts without white space on end: nothing is looked ahead for, so an automaton without steps back finds the splits.
 PLAIN_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: White space in ASCII, as the patterns see it, and the first and second bytes of the UTF-8 of all other white space.
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_WHITE = bytes(c in (9, 10, 11, 12, 13, 32) for c in range(256))
 _FIRST = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _SECOND = np.isin(np.arange(256), [0x80, 0x81, 0x85, 0x9A, 0xA0])
 _WIDE = np.array(sorted(int.from_bytes(chr(c).encode().ljust(3, b"\0")) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Bytes of texts whose words are gathered at once; a longer text goes by itself, as it is.
+MAX_BYTES = 8 << 20
 #: Texts with so much white space on end go to the named tokenizer itself: the faster one's pattern search runs out of stack there.
 LONG_SPACE = 100_000
 WINDOW = 1024
@@ -104,9 +106,10 @@ def words_of(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     the same splits wherever they stand; the others are told apart.
     """
     n = len(raw)
-    raw = np.append(np.frombuffer(raw, np.uint8), np.zeros(2, np.uint8))
-    white = _WHITE[raw]
-    lead = np.flatnonzero(_FIRST[raw[:-2]] & _SECOND[raw[1:-1]])
+    raw += bytes(2)
+    white, raw = np.frombuffer(bytearray(raw.translate(_WHITE)), bool), np.frombuffer(raw, np.uint8)
+    lead = np.flatnonzero(raw >= 0xC2)
+    lead = lead[_FIRST[raw[lead]] & _SECOND[raw[lead + 1]]]
     first, second, third = (raw[lead + k].astype(np.int64) for k in range(3))
     third[first == 0xC2] = 0
     wide = np.isin(first << 16 | second << 8 | third, _WIDE)
@@ -137,6 +140,11 @@ def ids_of_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     raw, offsets = _content(texts.cast(pa.binary()))
     if not len(raw):
         return [np.zeros(0, np.uint16)] * len(texts)
+    if len(raw) > MAX_BYTES:
+        if len(texts) == 1:
+            return [text_ids(load_encoder(path), raw.decode()).astype(np.uint16)]
+        half = len(texts) // 2
+        return ids_of_texts(texts[:half], path) + ids_of_texts(texts[half:], path)
     starts, own = words_of(raw, offsets)
     bounds = np.append(starts, len(raw)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
@@ -233,8 +241,9 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
 
 def weights_of(t: np.ndarray, tf: np.ndarray, lengths: np.ndarray | int, idf: np.ndarray, mean_length: float) -> np.ndarray:
     """BM25 weights of ids that occur ``tf`` times in pieces of ``lengths``."""
-    norm = K1 * (1 - B + B * lengths / max(1e-9, mean_length))
-    return (idf[t] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+    norm = np.asarray(K1 * (1 - B + B * lengths / max(1e-9, mean_length)), np.float32)
+    tf = tf.astype(np.float32)
+    return idf[t].astype(np.float32) * (tf * np.float32(K1 + 1) / (tf + norm))
 
 
 def _orders() -> np.ndarray:
@@ -297,14 +306,16 @@ def shard_scores(t: np.ndarray, held: np.ndarray, owner: np.ndarray, n: int) ->
     df = np.bincount(t, minlength=VOCABULARY)
     common = df * COMMON > n
     place, dense = np.cumsum(common) - 1, common[t]
-    w = np.zeros((n, int(common.sum())), np.float32)
-    w[owner[dense], place[t[dense]]] = held[dense]
+    columns = int(common.sum())
+    w = np.zeros((n, columns), np.float32)
+    w.reshape(-1)[owner[dense] * columns + place[t[dense]]] = held[dense]
     m = (w > 0).astype(np.float32) @ w.T
     scores = m.reshape(-1)
     t, owner, held = t[~dense], owner[~dense], held[~dense]
     order = np.argsort(t, kind="stable")
     t, owner, held = t[order], owner[order], held[order]
-    first, size = np.searchsorted(t, t), df[t]  # each posting meets all those of its id
+    df[common] = 0
+    first, size = (np.cumsum(df) - df)[t], df[t]  # each posting meets all those of its id
     pairs = np.append(0, np.cumsum(size))
     lo = 0
     while lo < len(t):

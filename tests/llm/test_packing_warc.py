@@ -31,13 +31,15 @@ def test_the_faster_pattern_splits_as_the_named_one():
     assert [packing.encode_text(encoder, x) for x in texts] == ids
 
 
-def test_words_of_a_batch_are_encoded_once():
+@pytest.mark.parametrize("most", [packing.MAX_BYTES, 60])
+def test_words_of_a_batch_are_encoded_once(monkeypatch, most):
     """Ids of whole batches, whose equal words are split and merged once, are those of the named tokenizer for each text."""
     rng = random.Random(5)
     parts = ["a", "bc", "É", "́", "日本", "、", "“", "1", "½", "'s", "'T", "'vex", "!", "_", *[" "] * 4, "  ", "\n", "\r\n", "\t", "\u3000", "\u2009", "\u200b", "\x85", "\xa0", "\x1c", "\x00", "<|endoftext|>", "😀"]
     texts = [None, "", " ", "\n", "", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)), "x" * 3000, " "]
     texts += [f"a{chr(c)}a1{chr(c)}1 {chr(c)}!{chr(c)}b's {chr(c)} {chr(c)}y" for c in range(0x3100)]
     want = [e.ids for e in packing.named_tokenizer().encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    monkeypatch.setattr(packing, "MAX_BYTES", most)
     path, whole = public_tokenizers.path(packing.RANKS), pa.array(texts, pa.string())
     for at in range(0, len(texts), 700):
         assert [x.tolist() for x in packing.ids_of_texts(whole.slice(at, 700), path)] == want[at : at + 700]
